@@ -52,3 +52,12 @@ def pa_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def hashed_share(column, part: int, whole: int):
+    """True on about part / whole of the ids, by hash alone; on all where part reaches whole. A bounded sample for a model's fit."""
+    from pyspark.sql import functions as F
+
+    if part >= whole:
+        return F.lit(True)
+    return F.xxhash64(column) <= F.lit(((1 << 64) - 1) * part // whole - (1 << 63))

@@ -3,21 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from bytefleet.llm import language_id, secrets, toxicity
 from bytefleet.llm.bpe_chunks import roundtrip
 from bytefleet.llm.common import table
 from bytefleet.llm.token_counts import token_counts
 from bytefleet.llm.tokenizers_io import public_path
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = language_id.held_out(parts=3, part=1)
+    model = toxicity.train(docs, labels.filter(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.held_out()
+    model = language_id.train(docs.filter(~held))
+    return language_id.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs))
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op7_token_counts, op9_bpe_roundtrip)}
+QUERIES = {f.__name__: f for f in (op4_toxicity, op5_language_id, op7_token_counts, op8_secrets, op9_bpe_roundtrip)}
 #: Queries that SQL can't express have none: tests/llm holds them against brute force instead.
 ORACLE_SQL: dict[str, str] = {}

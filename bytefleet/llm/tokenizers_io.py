@@ -29,7 +29,7 @@ def load(path: str):
 
 
 #: White space other than the plain space, and the plain space itself: before " " each makes that cut unsafe.
-_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNSAFE = [c + " " for c in _SPACES]
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
 
