@@ -61,3 +61,17 @@ def hashed_share(column, part: int, whole: int):
     if part >= whole:
         return F.lit(True)
     return F.xxhash64(column) <= F.lit(((1 << 64) - 1) * part // whole - (1 << 63))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint in the folder that the session names, so that later steps neither repeat the work
+    nor depend on executors that may be lost. Only where no folder is set (as in tests), one is made."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytefleet.llm import chat_format, decontamination, jpeg_media, language_id, secrets, toxicity
+from bytefleet.llm import chat_format, decontamination, jpeg_media, language_id, near_dedup, secrets, toxicity
 from bytefleet.llm.bpe_chunks import roundtrip
 from bytefleet.llm.common import table
 from bytefleet.llm.token_counts import token_counts
@@ -49,6 +49,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
 
@@ -66,7 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_media_columns, op4_toxicity, op5_language_id, op7_token_counts, op8_secrets, op9_bpe_roundtrip, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_media_columns, op4_toxicity, op5_language_id, op6_near_duplicates, op7_token_counts, op8_secrets, op9_bpe_roundtrip, op10_decontamination)}
 #: Queries that SQL can't express have none: tests/llm holds them against brute force instead.
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": r"""
