@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -74,4 +75,8 @@ def cut(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # Spark deletes the shuffle files and checkpoints that nothing refers to any more when the driver collects its garbage
+    gc.collect()
+    context._jvm.System.gc()
+    return done

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytefleet.llm import chat_format, decontamination, jpeg_media, language_id, near_dedup, secrets, toxicity
+from bytefleet.llm import chat_format, decontamination, jpeg_media, language_id, near_dedup, secrets, suffix_dedup, toxicity
 from bytefleet.llm.bpe_chunks import roundtrip
 from bytefleet.llm.common import table
 from bytefleet.llm.token_counts import token_counts
@@ -15,6 +15,10 @@ from bytefleet.llm.tokenizers_io import public_path
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     forged = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
@@ -70,7 +74,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_media_columns, op4_toxicity, op5_language_id, op6_near_duplicates, op7_token_counts, op8_secrets, op9_bpe_roundtrip, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_media_columns, op4_toxicity, op5_language_id, op6_near_duplicates, op7_token_counts, op8_secrets, op9_bpe_roundtrip, op10_decontamination)}
 #: Queries that SQL can't express have none: tests/llm holds them against brute force instead.
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": r"""
