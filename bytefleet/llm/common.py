@@ -64,19 +64,32 @@ def hashed_share(column, part: int, whole: int):
     return F.xxhash64(column) <= F.lit(((1 << 64) - 1) * part // whole - (1 << 63))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what spark.checkpoint.dir names. Only where it is unset (as in tests), one is made."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    global _OWN
+    if _OWN is None:
+        import tempfile
+
+        _OWN = tempfile.mkdtemp(prefix="shared-")
+    return _OWN
+
+
+_OWN: str | None = None
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in the folder that the session names, so that later steps neither repeat the work
-    nor depend on executors that may be lost. Only where no folder is set (as in tests), one is made."""
+    """The same rows from a checkpoint in the shared folder, so that later steps neither repeat the work nor depend on
+    executors that may be lost."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
-    done = df.checkpoint(eager=True)
-    # Spark deletes the shuffle files and checkpoints that nothing refers to any more when the driver collects its garbage
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of finished steps: it does so once the driver's garbage is collected."""
     gc.collect()
-    context._jvm.System.gc()
-    return done
+    spark.sparkContext._jvm.System.gc()

@@ -15,15 +15,17 @@ text is `und`; ties go to the language that sorts first; one row out for each ro
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytefleet.llm.common import hashed_share, map_text
+from bytefleet.llm.common import hashed_share, map_text, slices
 from bytefleet.llm.tokenizers_io import public_path
 
 TRAIN_DOCS, TRAIN_WORDS, MAX_LANGUAGES = 300, 60_000, 64
@@ -181,32 +183,52 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 _SCORERS: dict[str, Scorer] = {}
 
 
+def _sent(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray]):
+    """The model for the executors: vocabulary x languages numbers, so bounded."""
+    pieces, _, table = model
+    return docs.sparkSession.sparkContext.broadcast((pieces, table, hashlib.sha256(table.tobytes()).hexdigest()))
+
+
+def _predict(texts: list[str | None], languages: list[str], sent) -> tuple[list[str], list[float]]:
+    if not languages:
+        return ["und"] * len(texts), [0.0] * len(texts)
+    pieces, table, name = sent.value
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(pieces, table)
+    preds, scores = [], []
+    for total in _SCORERS[name].score([words_of(t) for t in texts]):
+        best = None if total is None else int(np.argmax(total))
+        preds.append("und" if best is None else languages[best])
+        scores.append(0.0 if best is None else float(1 / np.exp(total - total[best]).sum()))
+    return preds, scores
+
+
 def identify(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", id_type: str = "bigint") -> DataFrame:
     """(id, lang_pred, score): the likeliest language and its posterior probability (languages equally likely before)."""
-    pieces, languages, table = model
-    sent = docs.sparkSession.sparkContext.broadcast((pieces, table, f"{id(model)}:{hash(table.tobytes())}"))  # vocabulary x languages: bounded
+    _, languages, _ = model
+    sent = _sent(docs, model)
 
     def each(keys, texts):
-        if not languages:
-            return keys, ["und"] * len(keys), [0.0] * len(keys)
-        vocab, probabilities, name = sent.value
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(vocab, probabilities)
-        preds, scores = [], []
-        for total in _SCORERS[name].score([words_of(t) for t in texts]):
-            if total is None:
-                preds.append("und")
-                scores.append(0.0)
-            else:
-                best = int(np.argmax(total))
-                preds.append(languages[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
-        return keys, preds, scores
+        return keys, *_predict(texts, languages, sent)
 
     return map_text(docs, id_col, text_col, each, f"{id_col} {id_type}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is identified with a posterior probability of `least` or more."""
+    _, languages, _ = model
+    sent = _sent(docs, model)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, batch.schema.get_field_index(text_col)):
+                found = _predict(part.column(text_col).to_pylist(), languages, sent)
+                yield part.filter(pa.array([lang != "und" and score >= least for lang, score in zip(*found, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str | Column = "doc_id", parts: int = 4, part: int = 2) -> Column:
     """Documents that must not be learned from: crc32 of the id as text leaves `part` when divided by `parts`."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")) % parts == part, F.lit(False))

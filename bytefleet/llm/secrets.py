@@ -17,10 +17,11 @@ import string
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytefleet.llm.common import hashed_share, map_text
+from bytefleet.llm.common import hashed_share, map_text, slices
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -143,6 +144,23 @@ def scan(docs: DataFrame, words: tuple[str, ...] = (), id_col: str = "doc_id", t
     return map_text(docs, id_col, text_col, each, f"{id_col} {id_type}, n_assign bigint, n_access bigint, n_hex bigint, n_markov bigint, base_sha256 string, spans string")
 
 
+def redacted(docs: DataFrame, words: tuple[str, ...] = (), text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The same rows and columns with the secrets in the text column replaced, and its length in chars_col counted anew.
+
+    A null text stays null.
+    """
+
+    def run(batches):
+        gain = models(words)
+        for batch in batches:
+            for part in slices(batch, batch.schema.get_field_index(text_col)):
+                texts = [None if t is None else redact(t, gain) for t in part.column(text_col).to_pylist()]
+                yield part.set_column(part.schema.get_field_index(text_col), text_col, pa.array(texts, pa.string()))
+
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
+
+
 def redact(text: str, gain: np.ndarray) -> str:
     """The text with every span replaced by a mark; overlapping spans become one. An assignment keeps its name and sign."""
     base = base_spans(text)
