@@ -86,10 +86,7 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files and checkpoints of finished steps: it does so once the driver's garbage is collected."""
+    # Spark deletes the shuffle files and checkpoints of finished steps once the driver's garbage is collected
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    context._jvm.System.gc()
+    return df.checkpoint(eager=True)

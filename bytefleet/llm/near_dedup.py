@@ -4,11 +4,11 @@
    permutations make all signature coordinates: sigma places a shingle on a circle of CIRCLE points, and pi,
    shifted round by k, gives coordinate k as the least pi(sigma(x) + k). Equal sets become one node.
 2. The coordinates are banded (BANDS of BAND_ROWS). At Jaccard 0.8 two sets share no band with probability 5e-8.
-3. In each bucket all nodes are compared with one hub, the bucket's smallest node, on their full sets. That joins groups of
+3. In each bucket all nodes are compared with one hub, the node with the most company in all its buckets, on their full sets. That joins groups of
    copies in linear work. It is not the whole job: two nodes that both fail against their hub may still be linked.
 4. So buckets that still hold more than one component are finished exactly: shingles of their nodes are
-   ordered by frequency, rarest first, and sets with Jaccard >= T must share one of their first n - ceil(T n) + 1
-   (prefix filter, with length and position bounds). Pairs of different components that do are compared on their full sets.
+   ordered by frequency, rarest first, and sets with Jaccard >= T must share one of their first (prefix filter, with length
+   and position bounds). Pairs of different components that do are compared on their full sets.
    Sets whose rarest fifth is their own make no pair at all, so nothing is squared with a group's size but true contenders.
 5. Components come from the links by minimum labels with pointer jumping, all as DataFrames with checkpoints.
 
@@ -122,46 +122,43 @@ def _linked(inter: Column, a: Column, b: Column, percent: int) -> Column:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (a, b) whose full sets reach the threshold."""
-    left = sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     inter = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(left, "a").join(right, "b").filter(_linked(inter, F.size("sa"), F.size("sb"), percent)).select("a", "b")
 
 
-def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, label): for each node of a link the least (id, key) that it reaches. nodes: (key, id)."""
+def components(links: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, label): for each node of a link the least (id, node) that it reaches. names: (node, id)."""
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    named = both.select(F.col("a").alias("key")).distinct().join(nodes, "key")
-    labels = cut(named.select("key", F.struct(F.col("id"), F.col("key").alias("key")).alias("label")))
+    named = both.select(F.col("a").alias("node")).distinct().join(names, "node")
+    labels = cut(named.select("node", F.struct("id", "node").alias("label")))
     while True:
-        near = both.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "key").select("key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        lower = cut(lower)
-        jump = lower.select(F.col("key").alias("at"), F.col("label").alias("further"))
-        moved = lower.join(jump, F.col("label.key") == F.col("at")).select("key", "old", F.least("label", "further").alias("label"))
-        moved = cut(moved)
-        labels = moved.select("key", "label")
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = cut(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        jump = lower.select(F.col("node").alias("at"), F.col("label").alias("further"))
+        moved = cut(lower.join(jump, F.col("label.node") == F.col("at")).select("node", "old", F.least("label", "further").alias("label")))
+        labels = moved.select("node", "label")
         if moved.filter(F.col("old") != F.col("label")).isEmpty():
             return labels
 
 
 def contenders(sets: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of sets with different labels that can reach the threshold, by prefix, length and position; none that can is missed.
+    """Pairs (a, b) of sets with different labels that can reach the threshold; none that does is missed.
 
-    sets: (key, s); labels: (key, label) for all of them.
+    Shingles that no other set here has can't be shared. Of the c others, ordered by frequency, rarest first, a set of n must
+    share one of its first c - ceil(percent n) + 1, and at the first shingle that two sets share, no more than it
+    and what follows in both can be common. sets: (node, s); labels: (node, label) for all of them.
     """
-    rows = sets.select("key", F.size("s").alias("n"), F.explode("s").alias("g"))
-    counted = rows.groupBy("g").agg(F.count("*").alias("times"))
-    ordered = rows.join(counted, "g").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("times", "g"))).alias("o"))
-    # at most n - ceil(percent n / 100) + 1 of the first shingles, by whole numbers
-    prefix = F.expr(f"slice(o, 1, n - int(({percent} * n + 99) div 100) + 1)")
-    front = ordered.select("key", "n", F.posexplode(prefix).alias("pos", "x")).filter(F.col("x.times") > 1).select("key", "n", "pos", F.col("x.g").alias("g"))
-    front = cut(front.join(labels, "key").select("key", "n", "pos", "g", "label"))
-    a = front.select("g", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
-    b = front.select("g", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
-    most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    can = _linked(most, F.col("na"), F.col("nb"), percent) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return a.join(b, "g").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & can).select("a", "b").distinct()
+    rows = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("g"))
+    counted = cut(rows.groupBy("g").agg(F.count("*").alias("times")).filter("times > 1"))
+    ordered = rows.join(counted, "g").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("times", "g"))).alias("o"))
+    sized = ordered.withColumn("c", F.size("o")).withColumn("first", F.expr(f"c - int(({percent} * n + 99) div 100) + 1")).filter("first > 0")
+    front = sized.select("node", "n", "c", F.posexplode(F.slice("o", 1, F.col("first"))).alias("pos", "x")).select("node", "n", (F.col("c") - F.col("pos")).alias("rest"), F.col("x.g").alias("g"))
+    front = cut(front.join(labels, "node"))  # rest counts the shingle itself
+    a, b = (front.select("g", *(F.col(c).alias(c + side) for c in ("node", "n", "rest", "label"))) for side in "ab")
+    can = _linked(F.least("resta", "restb"), F.col("na"), F.col("nb"), percent) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return a.join(b, "g").filter((F.col("nodea") < F.col("nodeb")) & (F.col("labela") != F.col("labelb")) & can).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -169,32 +166,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     base = cut(_map(texts, "id bigint, n bigint, key binary, bands array<bigint>", _signed, 1))
     full = base.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    nodes = cut(full.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
-
-    rows = nodes.select("key", "id", F.explode("bands").alias("bucket"))
-    node = F.struct("id", "key")
-    shared = rows.groupBy("bucket").agg(F.min(node).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    met = cut(rows.join(shared, "bucket").select("bucket", "key", F.col("hub.key").alias("hub")))
-    hub_pairs = met.filter(F.col("hub") != F.col("key")).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-
-    wanted = met.select("key").distinct().join(nodes.select("key", "id"), "key")
+    nodes = cut(full.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    names = nodes.select("node", "id")
+
+    rows = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = cut(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
+    met = cut(rows.join(shared, "bucket"))
+    # the hub of a bucket is its node with the most company in all buckets: what others were copied from rather than a copy
+    company = met.groupBy("node").agg(F.sum("size").alias("company"))
+    hubs = cut(met.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("hub")))
+    hub_pairs = met.join(hubs, "bucket").filter("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+
+    wanted = cut(met.select("node").distinct().join(nodes.select("node", "id", "key"), "node"))
     found = _map(texts.join(wanted.select("id").distinct(), "id", "left_semi"), "id bigint, key binary, s array<bigint>", _sets, 1)
-    sets = cut(found.join(wanted.select("id", "key"), ["id", "key"], "left_semi").groupBy("key").agg(F.first("s").alias("s")))
+    sets = cut(found.join(wanted, ["id", "key"]).groupBy("node").agg(F.first("s").alias("s")))
 
     links = cut(confirmed(hub_pairs, sets, percent))
-    names = nodes.select("key", "id")
     labels = components(links, names)
 
     # what the hubs did not settle
-    of = met.select("bucket", "key").join(labels, "key", "left").select("bucket", "key", F.coalesce(F.col("label.key"), F.col("key")).alias("label"))
+    of = met.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce(F.col("label.node"), F.col("node")).alias("label"))
     open_buckets = of.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-    unsettled = cut(of.join(open_buckets, "bucket", "left_semi").select("key", "label").distinct())
-    pairs = contenders(sets.join(unsettled, "key", "left_semi"), unsettled, percent)
-    more = cut(confirmed(pairs, sets, percent))
+    unsettled = cut(of.join(open_buckets, "bucket", "left_semi").select("node", "label").distinct())
+    more = cut(confirmed(contenders(sets.join(unsettled, "node", "left_semi"), unsettled, percent), sets, percent))
     if not more.isEmpty():
         labels = components(links.union(more), names)
 
-    named = nodes.select("key", "id").join(labels, "key", "left").select("key", F.coalesce(F.col("label.id"), F.col("id")).alias("component"))
+    named = nodes.select("key", "node", "id").join(labels, "node", "left").select("key", F.coalesce(F.col("label.id"), F.col("id")).alias("component"))
     out = base.drop("bands").join(named, "key", "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
