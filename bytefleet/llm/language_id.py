@@ -31,7 +31,7 @@ from bytefleet.llm.tokenizers_io import public_path
 TRAIN_DOCS, TRAIN_WORDS, MAX_LANGUAGES = 300, 60_000, 64
 LONGEST_PIECE, ROUNDS, SMOOTH, UNKNOWN = 12, 3, 0.05, 1e-7
 _WORD = re.compile(r"[^\W\d_]+")
-_KNOWN_WORDS, _LONG = 200_000, 40
+_KNOWN_WORDS, _LONG = 700_000, 40
 
 
 def words_of(text: str | None) -> list[str]:
@@ -58,9 +58,14 @@ class Lattice:
 
     def arcs(self, words: list[str], n: int) -> np.ndarray:
         """[word, end, length - 1] -> piece id, for marked words of n characters. A single character out of the vocabulary is `unknown`."""
-        ids, none, unknown, longest = self.ids, self.none, self.unknown, min(LONGEST_PIECE, n)
-        flat = [ids.get(w[j - l : j], unknown if l == 1 else none) if l <= j else none for w in words for j in range(1, n + 1) for l in range(1, longest + 1)]
-        return np.array(flat, np.int32).reshape(len(words), n, longest)
+        find, none, longest = self.ids.get, self.none, min(LONGEST_PIECE, n)
+        places = [(j - l, j) for j in range(1, n + 1) for l in range(1, min(j, longest) + 1)]
+        flat = np.array([find(w[a:b], none) for w in words for a, b in places], np.int32).reshape(len(words), len(places))
+        out = np.full((len(words), n, longest), none, np.int32)
+        out[:, [b - 1 for _, b in places], [b - a - 1 for a, b in places]] = flat
+        single = out[:, :, 0]
+        single[single == none] = self.unknown
+        return out
 
 
 def forward(arcs: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -89,6 +94,7 @@ class Scorer:
 
     def __init__(self, pieces: list[str], table: np.ndarray, keep: int = _KNOWN_WORDS):
         self.lattice, self.table, self.keep, self.known = Lattice(pieces), table, keep, {}
+        self.rows = np.empty((keep, table.shape[1]))
 
     def _long(self, word: str) -> np.ndarray:
         """One long word, rescaled at each position so that nothing underflows."""
@@ -107,16 +113,19 @@ class Scorer:
         return out
 
     def score(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Summed log-probabilities of each text's words."""
-        distinct = {w for t in texts for w in t}
-        new = self.new([w for w in distinct if w not in self.known])
-        if len(self.known) + len(new) > self.keep:
-            self.known = {}
-            new |= self.new([w for w in distinct if w not in new])
-        self.known.update((w, v) for w, v in new.items() if len(w) < _LONG)
-        order = {w: k for k, w in enumerate(distinct)}
-        matrix = np.array([new[w] if w in new else self.known[w] for w in distinct]) if distinct else np.zeros((0, self.table.shape[1]))
-        return [matrix[np.fromiter(map(order.__getitem__, t), np.int64, len(t))].sum(0) if t else None for t in texts]
+        """Summed log-probabilities of each text's words, None for a text without words."""
+        known = self.known
+        missing = list({w for t in texts for w in t if w not in known})
+        if len(known) + len(missing) > self.keep:
+            known.clear()
+            missing = list({w for t in texts for w in t})
+        rows = self.rows
+        if len(missing) > len(rows):  # more distinct words in one slice than are kept
+            rows, known = np.empty((len(missing), rows.shape[1])), {}
+        for w, value in self.new(missing).items():
+            rows[len(known)] = value
+            known[w] = len(known)
+        return [rows[np.fromiter(map(known.__getitem__, t), np.int64, len(t))].sum(0) if t else None for t in texts]
 
 
 def fit(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
