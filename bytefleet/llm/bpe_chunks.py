@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from bytefleet.llm.common import map_text
+from bytefleet.llm.common import map_text, worker_state
 from bytefleet.llm.tokenizers_io import PieceCache, byte_level_pieces, load, packed
 
 WINDOW, CUT_BITS = 32, 11
@@ -125,9 +125,6 @@ class ChunkEncoder:
         return b"".join([*out, ids])
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
 
 
 class TokenBytes:
@@ -154,16 +151,15 @@ class TokenBytes:
         return self.data[at].tobytes().decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def _table(path: str) -> TokenBytes:
-    return TokenBytes(path)
+def _coder(path: str) -> tuple[ChunkEncoder, TokenBytes]:
+    return worker_state("bpe", path, lambda: (ChunkEncoder(path), TokenBytes(path)))
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", id_type: str = "bigint") -> DataFrame:
     """(id, ids): the token ids of each text."""
 
     def each(keys, texts):
-        encoder = _encoder(path)
+        encoder, _ = _coder(path)
         found = [np.frombuffer(encoder.encode(t or ""), "<u4") for t in texts]
         values = pa.array(np.concatenate([*found, np.empty(0, "<u4")]).astype(np.int32))
         ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
@@ -177,7 +173,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
 
     def run(batches):
         for batch in batches:
-            table = _table(path)
+            _, table = _coder(path)
             texts = [table.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
@@ -188,7 +184,7 @@ def roundtrip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """(id, n_tokens, ids_sha256, decoded_sha256): each text encoded, its ids decoded, both digested where they are made."""
 
     def each(keys, texts):
-        encoder, table = _encoder(path), _table(path)
+        encoder, table = _coder(path)
         ids = [encoder.encode(t or "") for t in texts]
         return keys, [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(table.decode(x).encode()).hexdigest() for x in ids]
 

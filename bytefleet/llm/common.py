@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Slices handed to an operator hold about so many bytes of text; one row may be longer.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+_STATE: dict[tuple, object] = {}
+
+
+def worker_state(operator: str, key: object, make: Callable[[], object]):
+    """What an operator keeps in a Python worker between tasks, such as a cache: made once for a key.
+
+    Workers are reused by later stages, so only one operator's state is held at a time: the first call of another frees it.
+    """
+    if (operator, key) not in _STATE:
+        if _STATE:
+            _STATE.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _STATE[operator, key] = make()
+    return _STATE[operator, key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +102,9 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    # Spark deletes the shuffle files and checkpoints of finished steps once the driver's garbage is collected
+    # Spark deletes the shuffle files and checkpoints of finished steps once the driver's garbage is collected; a thread
+    # of the gateway first has to let go of what Python no longer holds, which it looks for ten times a second
     gc.collect()
+    time.sleep(0.3)
     context._jvm.System.gc()
     return df.checkpoint(eager=True)

@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytefleet.llm.common import hashed_share, map_text, slices
+from bytefleet.llm.common import hashed_share, map_text, slices, worker_state
 from bytefleet.llm.tokenizers_io import public_path
 
 TRAIN_DOCS, TRAIN_WORDS, MAX_LANGUAGES = 300, 60_000, 64
 LONGEST_PIECE, ROUNDS, SMOOTH, UNKNOWN = 12, 3, 0.05, 1e-7
 _WORD = re.compile(r"[^\W\d_]+")
-_KNOWN_WORDS, _LONG = 700_000, 40
+_KNOWN_WORDS, _LONG = 500_000, 40
 
 
 def words_of(text: str | None) -> list[str]:
@@ -156,6 +156,7 @@ def fit(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = ROU
             p = (expected + SMOOTH) / (expected.sum() + SMOOTH * size)
             p[lattice.none] = 0
             p[lattice.unknown] = min(p[lattice.unknown], UNKNOWN)
+            p /= p.sum()
         table[:, k] = p
     return languages, table
 
@@ -189,9 +190,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return (pieces, *fit(rows, pieces)) if rows else ([], [], np.zeros((0, 0)))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _sent(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray]):
     """The model for the executors: vocabulary x languages numbers, so bounded."""
     pieces, _, table = model
@@ -202,11 +200,9 @@ def _predict(texts: list[str | None], languages: list[str], sent) -> tuple[list[
     if not languages:
         return ["und"] * len(texts), [0.0] * len(texts)
     pieces, table, name = sent.value
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(pieces, table)
+    scorer = worker_state("language_id", name, lambda: Scorer(pieces, table))
     preds, scores = [], []
-    for total in _SCORERS[name].score([words_of(t) for t in texts]):
+    for total in scorer.score([words_of(t) for t in texts]):
         best = None if total is None else int(np.argmax(total))
         preds.append("und" if best is None else languages[best])
         scores.append(0.0 if best is None else float(1 / np.exp(total - total[best]).sum()))

@@ -20,7 +20,6 @@ same set); rows without an id are returned with a null component, kept; an empty
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytefleet.llm.common import cut, pa_schema, slices
+from bytefleet.llm.common import cut, pa_schema, slices, worker_state
 
 WORDS, PERCENT = 4, 80
 BANDS, BAND_ROWS, CIRCLE = 32, 4, 1 << 20
@@ -55,8 +54,11 @@ def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-@lru_cache(maxsize=1)
 def _circle() -> np.ndarray:
+    return worker_state("near_dedup", CIRCLE, _make_circle)
+
+
+def _make_circle() -> np.ndarray:
     """pi, as a view in which row i holds pi(i), pi(i + 1), ... round the circle."""
     pi = np.random.default_rng(20260101).permutation(CIRCLE).astype(np.uint32)
     width = BANDS * BAND_ROWS

@@ -11,11 +11,9 @@ Defined cases: a null text counts as empty (0 bytes, 0 tokens); one row out for
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame
 
-from bytefleet.llm.common import map_text
+from bytefleet.llm.common import map_text, worker_state
 from bytefleet.llm.tokenizers_io import PieceCache, load
 
 CHUNK, OVERLAP = 16_384, 512
@@ -65,9 +63,8 @@ class Resync:
         return total + len(left)
 
 
-@lru_cache(maxsize=4)
 def _counters(path: str, chunk: int, overlap: int) -> tuple[PieceCache, Resync]:
-    return PieceCache(path, len), Resync(path, chunk, overlap)
+    return worker_state("token_counts", (path, chunk, overlap), lambda: (PieceCache(path, len), Resync(path, chunk, overlap)))
 
 
 def token_counts(df: DataFrame, path: str, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text", id_type: str = "bigint") -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytefleet.llm.common import hashed_share, map_text
+from bytefleet.llm.common import hashed_share, map_text, worker_state
 
 TRAIN_ROWS, VOTERS, LEAST_DOCS, LEAST_LIFT, THRESHOLD = 3000, 400, 3, 8.0, 0.7
 BEGINNINGS = (4, 5, 6)
@@ -159,9 +159,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return voters.names, weights, bias
 
 
-_LOADED: dict[bytes, Voters] = {}
-
-
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray, float] | None, id_col: str = "doc_id", text_col: str = "text", id_type: str = "bigint") -> DataFrame:
     """(id, score, predicted) of every whole text."""
 
@@ -169,10 +166,7 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray, float] | None, id
         if model is None:
             return keys, [0.0] * len(keys), [0] * len(keys)
         names, weights, bias = model
-        if (key := weights.tobytes()) not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = Voters(names[len(PATTERNS) :])
-        voters = _LOADED[key]
+        voters = worker_state("toxicity", weights.tobytes(), lambda: Voters(names[len(PATTERNS) :]))
         scores = [float(1 / (1 + np.exp(-np.clip(sum(weights[k] for k in voters.fired(t)) + bias, -30, 30)))) for t in texts]
         return keys, scores, [int(s >= THRESHOLD) for s in scores]
 
