@@ -2,7 +2,7 @@
 
 A token that no base pattern has claimed is a secret if the log-likelihood ratio per character of a first-order
 Markov model of random strings over one of ordinary identifiers is high. Both models are trained from labelled samples: strings drawn
-from the alphabets of keys, and words and identifiers of the corpus' own bounded sample and of a fixed list of joins.
+from the alphabets of keys, and identifiers made of ordinary words, those of a public vocabulary and of a bounded sample of the corpus.
 
 Defined cases: a null text counts as empty (no spans); one row out for each row in; base spans are never
 removed by the models, and a model's span never overlaps a base span.
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytefleet.llm.common import hashed_share, map_text, slices
+from bytefleet.llm.tokenizers_io import load, public_path
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -32,7 +33,9 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: Tokens that the models judge: key-like characters, this long at least, with a digit and a letter among them.
 TOKEN_LEAST, RATIO_LEAST = 20, 0.6
-SAMPLE_STRINGS, SAMPLE_WORDS, SAMPLE_DOCS = 4000, 20_000, 200
+SAMPLE_STRINGS, SAMPLE_WORDS, SAMPLE_DOCS = 20_000, 20_000, 200
+#: Words that are met less often in the sample may be pieces of secrets.
+LEAST_TIMES = 3
 REDACTED = "[secret]"
 _ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 _OF = {c: k for k, c in enumerate(_ALPHABET)}
@@ -79,7 +82,7 @@ def random_samples(seed: int = 7, count: int = SAMPLE_STRINGS) -> list[str]:
 def identifier_samples(words: list[str], seed: int = 11, count: int = SAMPLE_STRINGS) -> list[str]:
     """Labelled "ordinary": words joined as identifiers, paths, numbered names and dates are."""
     draw = random.Random(seed)
-    usable = [w for w in words if w.isascii() and w.isalnum()] or ["name", "value", "index", "count", "result", "default", "handler", "config"]
+    usable = [w for w in words if w.isascii() and w.isalpha()] or list(public_words())
     out = []
     for _ in range(count):
         join = draw.choice(JOINS)
@@ -89,10 +92,18 @@ def identifier_samples(words: list[str], seed: int = 11, count: int = SAMPLE_STR
     return out
 
 
+@lru_cache(maxsize=1)
+def public_words() -> tuple[str, ...]:
+    """Ordinary words: the whole words of a public vocabulary, of three to fifteen letters."""
+    names = load(public_path("word_bpe_49k.json")).get_vocab()
+    return tuple(sorted(w for n in names if n.endswith("</w>") and 3 <= len(w := n[:-4]) <= 15 and w.isascii() and w.isalpha()))
+
+
 @lru_cache(maxsize=4)
 def models(words: tuple[str, ...] = ()) -> np.ndarray:
     """The difference of both models' log-probabilities: positive where a step is likelier in a random string."""
-    return transitions(random_samples()) - transitions(identifier_samples(list(words)) + list(words))
+    ordinary = identifier_samples(list(public_words())) + (identifier_samples(list(words), seed=13) if words else [])
+    return transitions(random_samples()) - transitions(ordinary + list(words))
 
 
 def ratio(token: str, gain: np.ndarray) -> float:
@@ -118,7 +129,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     """At most SAMPLE_WORDS ordinary words of a sample of about SAMPLE_DOCS documents (by hash of the id), most frequent first."""
     n = docs.select(id_col).count()
     picked = docs.filter(hashed_share(F.col(id_col), SAMPLE_DOCS, n)).select(F.explode(F.split(F.col(text_col), r"[^A-Za-z]+")).alias("word"))
-    rows = picked.filter(F.length("word").between(2, 30)).groupBy("word").count().orderBy(F.desc("count"), "word").limit(SAMPLE_WORDS).collect()
+    rows = picked.filter(F.length("word").between(3, 30)).groupBy("word").count().filter(F.col("count") >= LEAST_TIMES).orderBy(F.desc("count"), "word").limit(SAMPLE_WORDS).collect()
     return tuple(r["word"] for r in rows)
 
 
