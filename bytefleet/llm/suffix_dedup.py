@@ -9,8 +9,8 @@ suffix, a digit isn't a byte but a string of bytes that all equal windows share,
   have equal anchors at equal offsets, and neighbouring windows mostly share theirs. A run of windows with one anchor is one
   row (about one for 65 bytes). Rows whose anchor is met once drop out.
 * Digit 2, the run: the whole run's bytes and the anchor's place in it. Runs that are met twice are settled whole.
-* Digit 3, the core: what all windows share whose anchor lies in one block of BLOCK offsets. It refines single runs in groups
-  of several; blocks with a core met once drop out.
+* Digit 3, the block: what all windows share whose anchor lies in one block of BLOCK offsets (the core), and then the whole
+  block. It refines single runs in groups of several; blocks with a core met once drop out, blocks met twice are settled whole.
 * Digit 4, the window: all DEPTH bytes, for what is left.
 
 Digits are 64-bit hashes; groups are by the first digit and the present one together, so 128 bits tell windows apart.
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytefleet.llm.common import cut, pa_schema, slices
+from bytefleet.llm.common import cut, pa_schema, slices, worker_state
 
 DEPTH, GRAM, BLOCK = 200, 48, 16
 _U = np.uint64
@@ -42,6 +41,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 #: Windows that are looked at together; a run ends where a stretch does, which the later digits make good.
 _STRETCH_BITS = 21
 _NO_ID = -(1 << 63)
+#: Bytes that a worker hashes at a time.
+SLICE = 1 << 20
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -50,8 +51,11 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> _U(31))
 
 
-@lru_cache(maxsize=1)
-def _tables(size: int = (1 << _STRETCH_BITS) + 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return worker_state("suffix_dedup", _STRETCH_BITS, _make_tables)
+
+
+def _make_tables(size: int = (1 << _STRETCH_BITS) + 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     up, down = np.full(size, _BASE, _U), np.full(size, pow(_BASE, -1, 1 << 64), _U)
     up[0] = down[0] = 1
     of_byte = np.random.default_rng(20260102).integers(0, 1 << 63, 256, dtype=_U) * _U(2) + _U(1)
@@ -107,18 +111,37 @@ def without(data: bytes, spans: np.ndarray) -> bytes:
     return b"".join(data[a:b] for a, b in zip(np.append(0, spans[:, 1]).tolist(), np.append(spans[:, 0], len(data)).tolist(), strict=True))
 
 
-def _arrow(df: DataFrame, schema: str, rows, text: int | None = None) -> DataFrame:
-    """Maps batches to the columns that `rows` makes of them, slice by slice."""
+def _arrow(df: DataFrame, schema: str, rows, text: int) -> DataFrame:
+    """Maps batches to the columns that `rows` makes of them, slice by slice of about SLICE bytes in column `text`."""
     out = pa_schema(schema)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text) if text is not None else [batch]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(rows(part), out, strict=True)], schema=out)
+            for part in slices(batch, text, SLICE):
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(rows(part), out, strict=True)], schema=out)
 
     return df.mapInArrow(run, schema)
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, places): value k of a string or binary column is bytes[places[k]:places[k + 1]]; nulls are empty."""
+    places = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[places[0] : places[-1]], places - places[0]
+
+
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(all elements, places): list k holds elements[places[k]:places[k + 1]]; nulls are empty."""
+    sizes = np.asarray(column.value_lengths().fill_null(0), np.int64)
+    return column.flatten(), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place in its owner) of each of so many items of each owner."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def _join_parts(parts: list[tuple[np.ndarray, ...]], width: int) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * width
 
@@ -127,97 +150,141 @@ def _identity(text: str | None) -> int:
     return np.int64(np.uint64(xxhash.xxh3_64_intdigest((text or "").encode())).view(np.int64)).item()
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(base, found): base has (id, rid, th, n_bytes, sha256) for each row; found has (rid, th, text, spans), spans being the repeated
-    windows merged, once for each text with repeats. rid and th identify a row by id and text."""
-    if not 0 < gram <= depth:
-        raise ValueError("the anchor lies inside the window")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _place(start: np.ndarray, offset: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A run's first window, the anchor's place in that, and the number of windows, as one number."""
+    return start.astype(np.int64) << 32 | offset.astype(np.int64) << 16 | windows.astype(np.int64)
 
-    def describe(part):
-        data = [(t or "").encode() for t in part.column(1).to_pylist()]
-        ids = part.column(0).to_pylist()
-        return ids, [_NO_ID if k is None else k for k in ids], [_identity(t.decode()) for t in data], [len(t) for t in data], [hashlib.sha256(t).hexdigest() for t in data]
 
-    base = cut(_arrow(texts, "id bigint, rid bigint, th bigint, n_bytes bigint, sha256 string", describe, 1))
+def _unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF
+
+
+def _no_null(ids: pa.Array) -> pa.Array:
+    return ids.cast(pa.int64()).fill_null(_NO_ID)
+
+
+def _pass(rows: DataFrame, group: list[str], digit: str) -> DataFrame:
+    """One pass: the rows that are left, refined from `group` by `digit`, with their standing.
+
+    settled: the same digit is met twice. open: to be refined further, because the group has several digits and one of them is met
+    once; of equal rows, those of one document (the smallest rid) take part. alone: the digit is met once.
+    Rows that are neither drop out.
+    """
+    groups = cut(rows.groupBy(*group, digit).agg(F.count("*").alias("n"), F.min("rid").alias("first")))
+    mixed = cut(groups.groupBy(*group).agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select(*group, F.lit(True).alias("mixed")))
+    status = cut(groups.join(mixed, group, "left").filter("n > 1 or mixed"))
+    marked = rows.join(status, [*group, digit]).withColumn("settled", F.col("n") > 1).withColumn("open", F.coalesce("mixed", F.lit(False)) & (F.col("rid") == F.col("first")))
+    return marked.withColumn("once", F.col("n") == 1).drop("n", "mixed", "first", digit)
+
+
+def _by_runs(texts: DataFrame, depth: int, gram: int) -> DataFrame:
+    """Digits 1 and 2: (rid, th, text, settled, open) of the texts that have any repeated run or one to refine, each once."""
 
     def cut_runs(part):
         found = []
-        for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+        for rid, text in zip(_no_null(part.column(0)).to_pylist(), part.column(1).to_pylist(), strict=True):
             th = None
             for d1, d2, start, count, anchor in runs(np.frombuffer((text or "").encode(), np.uint8), depth, gram):
                 th = _identity(text) if th is None else th
-                found.append((d1, d2, np.full(len(d1), _NO_ID if key is None else key), np.full(len(d1), th), start, count, anchor))
-        return _join_parts(found, 7)
-
-    long_texts = texts.filter(F.octet_length("text") >= depth)
-    rows = _arrow(long_texts, "d1 bigint, d2 bigint, rid bigint, th bigint, start int, windows int, anchor int", cut_runs, 1)
-
-    # digit 1
-    anchors = cut(rows.select("d1").groupBy("d1").agg(F.count("*").alias("n")).filter("n > 1").select("d1"))
-    rows = cut(rows.join(anchors, "d1", "left_semi"))
-    # digit 2
-    place = F.struct("rid", "th", "start", "windows", "anchor")
-    groups = cut(rows.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("p")))
-    settled = rows.join(cut(groups.filter("n > 1").select("d1", "d2")), ["d1", "d2"], "left_semi")
-    mixed = groups.groupBy("d1").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("d1")
-    refine = groups.join(cut(mixed), "d1").select("d1", (F.col("n") == 1).alias("alone"), "p.*")
-    # what each document has: settled runs, and runs to refine
-    item = F.struct(F.lit(None).cast("bigint").alias("d1"), F.lit(False).alias("alone"), "start", "windows", "anchor")
-    item2 = F.struct(F.col("d1"), F.col("alone"), "start", "windows", "anchor")
-    listed = settled.select("rid", "th", item.alias("x")).unionAll(refine.select("rid", "th", item2.alias("x"))).groupBy("rid", "th").agg(F.collect_list("x").alias("x"))
-    identified = _arrow(long_texts, "rid bigint, th bigint, text string", lambda part: ([_NO_ID if k is None else k for k in part.column(0).to_pylist()], [_identity(t) for t in part.column(1).to_pylist()], part.column(1)), 1)
-    work = cut(identified.join(listed, ["rid", "th"]).dropDuplicates(["rid", "th"]))
+                found.append((d1, d2, np.full(len(d1), rid), np.full(len(d1), th), _place(start, anchor - start, count)))
+        return _join_parts(found, 5)
+
+    rows = _arrow(texts, "d1 bigint, d2 bigint, rid bigint, th bigint, place bigint", cut_runs, 1)
+    anchors = cut(rows.groupBy("d1").agg(F.count("*").alias("n")).filter("n > 1").select("d1"))
+    marked = _pass(cut(rows.join(anchors, "d1", "left_semi")), ["d1"], "d2")
+    to_refine = F.when(F.col("open"), F.struct("d1", F.col("once").alias("alone"), "place"))
+    listed = marked.groupBy("rid", "th").agg(F.collect_list(F.when(F.col("settled"), F.col("place"))).alias("settled"), F.collect_list(to_refine).alias("open"))
+    identified = _arrow(texts, "rid bigint, th bigint, text string", lambda part: (_no_null(part.column(0)), [_identity(t) for t in part.column(1).to_pylist()], part.column(1)), 1)
+    return cut(identified.join(listed, ["rid", "th"]).dropDuplicates(["rid", "th"]))
+
+
+def _pieces(work: DataFrame, depth: int) -> DataFrame:
+    """The bytes of the runs to refine."""
 
     def cut_out(part):
-        out = []
-        for rid, th, text, xs in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-            data = None
-            for x in xs:
-                if x["d1"] is not None:
-                    data = (text or "").encode() if data is None else data
-                    out.append((x["d1"], rid, th, x["start"], x["windows"], x["anchor"], x["alone"], data[x["start"] : x["start"] + x["windows"] + depth - 1]))
-        return zip(*out, strict=True) if out else [[]] * 8
-
-    schema = "d1 bigint, rid bigint, th bigint, start int, windows int, anchor int, alone boolean, bytes binary"
-    pieces = _arrow(work.filter(F.exists("x", lambda x: x["d1"].isNotNull())), schema, cut_out, 2)
-
-    def cores(part):
-        out = []
-        for d1, rid, th, start, windows, anchor, raw in zip(*(part.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5, 7)), strict=True):
-            offsets = anchor - start - np.array([windows - 1, 0])  # of the last window and of the first
-            block = np.arange(offsets[0] // BLOCK, offsets[1] // BLOCK + 1)
-            begin = anchor - start - BLOCK * block
-            digit = Hashes(np.frombuffer(raw, np.uint8)).of(np.maximum(begin, 0), np.minimum(begin - BLOCK + 1 + depth, len(raw)), block + 1).view(np.int64)
-            n = len(block)
-            out.append((np.full(n, d1), digit, np.full(n, rid), np.full(n, th), np.full(n, start), block))
-        return _join_parts(out, 6)
-
-    # digit 3
-    blocks = cut(_arrow(pieces, "d1 bigint, core bigint, rid bigint, th bigint, start int, block int", cores))
-    alive = cut(blocks.groupBy("d1", "core").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "core"))
-    hit = blocks.join(alive, ["d1", "core"], "left_semi").groupBy("rid", "th", "start").agg(F.collect_set("block").alias("blocks"))
+        data, texts = _bytes(part.column(2))
+        found, places = _lists(part.column(3))
+        owner = np.repeat(np.arange(part.num_rows), np.diff(places))
+        place = np.asarray(found.field("place"))
+        start, _, windows = _unplace(place)
+        sizes = windows + depth - 1
+        run, at = _spread(sizes)
+        raw = data[(texts[owner] + start)[run] + at]
+        cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        pieces = pa.Array.from_buffers(pa.binary(), len(sizes), [None, cuts.buffers()[1], pa.py_buffer(raw.tobytes())])
+        return found.field("d1"), np.asarray(part.column(0))[owner], np.asarray(part.column(1))[owner], place, found.field("alone"), pieces
+
+    open_texts = work.filter(F.size("open") > 0).select("rid", "th", "text", "open")
+    return _arrow(open_texts, "d1 bigint, rid bigint, th bigint, place bigint, alone boolean, bytes binary", cut_out, 2)
+
+
+def _by_blocks(pieces: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Digit 3: (rid, th, place) of blocks of single runs that are settled, and (d1, rid, th, alone, starts, digits) of the windows that go on."""
+    size = min(BLOCK, depth)  # so that a block's windows have a core
+
+    def blocks_of(part):
+        data, places = _bytes(part.column(5))
+        start, offset, windows = _unplace(np.asarray(part.column(3)))
+        first, last = (offset - windows + 1) // size, offset // size
+        run, k = _spread(last - first + 1)
+        block = first[run] + k
+        begin, at = offset[run] - size * block, places[run]  # of the window whose anchor has the block's first offset
+        hashes = Hashes(data)
+        core = hashes.of(at + np.maximum(begin, 0), np.minimum(at + begin - size + 1 + depth, places[run + 1]), block + 1)
+        # the block's windows in this run, and all their bytes: equal ones have equal windows at equal offsets
+        low, high = np.maximum(begin - size + 1, 0), np.minimum(begin, windows[run] - 1)
+        whole = hashes.of(at + low, at + high + depth, (offset[run] - low) << 8 | (high - low + 1))
+        own = _place(start[run] + low, np.zeros(len(run), np.int64), high - low + 1)
+        return np.asarray(part.column(0))[run], core.view(np.int64), whole.view(np.int64), *(np.asarray(part.column(c))[run] for c in (1, 2, 3)), block, part.column(4).take(pa.array(run)), own
+
+    schema = "d1 bigint, core bigint, whole bigint, rid bigint, th bigint, place bigint, block bigint, alone boolean, own bigint"
+    marked = cut(_pass(_arrow(pieces, schema, blocks_of, 5), ["d1", "core"], "whole").filter("(settled and alone) or open"))
+    settled = marked.filter("settled and alone").select("rid", "th", F.col("own").alias("place"))
+    hit = marked.filter("open").groupBy("rid", "th", "place", (F.col("alone") & F.col("once")).alias("wanted")).agg(F.collect_set("block").alias("blocks"))
 
     def windows_of(part):
-        out, ends = [], [0]
-        for start, windows, anchor, raw, blocks_hit in zip(*(part.column(k).to_pylist() for k in (3, 4, 5, 7, 8)), strict=True):
-            at = np.arange(windows)
-            offset = anchor - start - at
-            at = at[np.isin(offset // BLOCK, blocks_hit)]
-            out.append((at + start, Hashes(np.frombuffer(raw, np.uint8)).of(at, at + depth, anchor - start - at + 1).view(np.int64)))
-            ends.append(ends[-1] + len(at))
-        starts, digits = _join_parts(out, 2)
-        offsets = pa.array(np.array(ends, np.int32))
-        lists = pa.ListArray.from_arrays(offsets, pa.array(starts.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(digits))
-        return part.column(0), part.column(1), part.column(2), part.column(6), *lists
-
-    joined = pieces.join(hit, ["rid", "th", "start"]).select("d1", "rid", "th", "start", "windows", "anchor", "alone", "bytes", "blocks")
-    packed = cut(_arrow(joined, "d1 bigint, rid bigint, th bigint, alone boolean, starts array<int>, digits array<bigint>", windows_of))
-    # digit 4
-    spread = packed.select("d1", "rid", "th", "alone", F.explode(F.arrays_zip("starts", "digits")).alias("w")).select("d1", F.col("w.digits").alias("d4"), "rid", "th", "alone", F.col("w.starts").alias("start"))
-    twice = cut(spread.groupBy("d1", "d4").agg(F.count("*").alias("n"), F.max("alone").alias("alone")).filter("n > 1 and alone").select("d1", "d4"))
-    single = spread.filter("alone").join(twice, ["d1", "d4"], "left_semi").groupBy("rid", "th").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    return base, work.join(single, ["rid", "th"], "left").select("rid", "th", "text", F.transform(F.filter("x", lambda x: x["d1"].isNull()), lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["windows"] + (depth - 1)).alias("end"))).alias("spans"), "starts")
+        data, places = _bytes(part.column(5))
+        start, offset, windows = _unplace(np.asarray(part.column(3)))
+        hit_blocks, hit_places = _lists(part.column(6))
+        wanted = np.repeat(np.arange(len(start)), np.diff(hit_places)) << 20 | np.asarray(hit_blocks)
+        run, at = _spread(windows)
+        kept = np.isin(run << 20 | (offset[run] - at) // size, wanted)
+        run, at = run[kept], at[kept]
+        digits = Hashes(data).of(places[run] + at, places[run] + at + depth, offset[run] - at + 1).view(np.int64)
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(run, minlength=len(start)))]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(ends, pa.array((start[run] + at).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(digits))
+        return part.column(0), part.column(1), part.column(2), part.column(4), *lists
+
+    joined = pieces.drop("alone").join(hit, ["rid", "th", "place"]).select("d1", "rid", "th", "place", F.col("wanted").alias("alone"), "bytes", "blocks")
+    return settled, cut(_arrow(joined, "d1 bigint, rid bigint, th bigint, alone boolean, starts array<int>, digits array<bigint>", windows_of, 5))
+
+
+def _by_windows(packed: DataFrame) -> DataFrame:
+    """Digit 4: (rid, th, place) of the windows in single runs that are met twice."""
+    twice = cut(
+        packed.select("d1", "alone", F.explode("digits").alias("d4")).groupBy("d1", "d4").agg(F.count("*").alias("n"), F.max("alone").alias("alone")).filter("n > 1 and alone").select("d1", "d4")
+    )
+    spread = packed.filter("alone").select("d1", "rid", "th", F.explode(F.arrays_zip("starts", "digits")).alias("w")).select("d1", F.col("w.digits").alias("d4"), "rid", "th", F.col("w.starts").cast("bigint").alias("start"))
+    return spread.join(twice, ["d1", "d4"], "left_semi").select("rid", "th", (F.shiftleft("start", 32) + 1).alias("place"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """(base, found): base has (id, rid, th, n_bytes, sha256) for each row; found has (rid, th, text, settled, more), once for each text with
+    repeats: places of settled runs, and of further blocks and windows. rid and th identify a row by id and text."""
+    if not 0 < gram <= depth or depth >= 1 << 16:
+        raise ValueError("the anchor lies inside the window, the window under 65,536 bytes")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def describe(part):
+        data = [(t or "").encode() for t in part.column(1).to_pylist()]
+        return part.column(0), _no_null(part.column(0)), [_identity(t.decode()) for t in data], [len(t) for t in data], [hashlib.sha256(t).hexdigest() for t in data]
+
+    work = _by_runs(texts.filter(F.octet_length("text") >= depth), depth, gram)
+    settled, packed = _by_blocks(_pieces(work, depth), depth)
+    more = cut(settled.unionAll(_by_windows(packed)).groupBy("rid", "th").agg(F.collect_list("place").alias("more")))
+    del settled, packed
+    base = _arrow(texts, "id bigint, rid bigint, th bigint, n_bytes bigint, sha256 string", describe, 1)
+    return base, work.drop("open").join(more, ["rid", "th"], "left")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
@@ -225,15 +292,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base, found = repeated_passages(docs, id_col, text_col, depth, gram)
 
     def removed(part):
+        data, texts = _bytes(part.column(2))
+        (first, ends), (second, more) = _lists(part.column(3)), _lists(part.column(4))
+        first, second = np.asarray(first, np.int64), np.asarray(second, np.int64)
         out = []
-        for text, spans, starts in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-            data = (text or "").encode()
-            ends = np.array([(s["start"], s["end"]) for s in spans] + [(s, s + depth) for s in starts or []], np.int64).reshape(-1, 2)
-            ends = merged(ends)
-            out.append((int((ends[:, 1] - ends[:, 0]).sum()), len(ends), hashlib.sha256(without(data, ends)).hexdigest()))
+        for k in range(part.num_rows):
+            start, _, windows = _unplace(np.concatenate([first[ends[k] : ends[k + 1]], second[more[k] : more[k + 1]]]))
+            spans = merged(np.stack([start, start + windows + depth - 1], 1))
+            out.append((int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(without(data[texts[k] : texts[k + 1]].tobytes(), spans)).hexdigest()))
         return part.column(0), part.column(1), *([list(c) for c in zip(*out, strict=True)] if out else [[], [], []])
 
-    cut_down = _arrow(found, "rid bigint, th bigint, n_removed bigint, n_spans bigint, kept_sha256 string", removed, 2)
+    cut_down = cut(_arrow(found, "rid bigint, th bigint, n_removed bigint, n_spans bigint, kept_sha256 string", removed, 2))
     return base.join(cut_down, ["rid", "th"], "left").select(
         F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256")
     )
