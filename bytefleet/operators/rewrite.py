@@ -54,14 +54,14 @@ def repair_bitmap(images: DataFrame, allocate: bool = True, free: bool = True) -
 
 
 def lynx_archives(files: DataFrame, image: str = "image") -> DataFrame:
-    """(image, content, n_files): the programs, sequential and user files of each image as one archive. An image's files meet in one group, as in the archive."""
+    """(image, content, n_files): all files of an image that have a name and data as one archive. An image's files meet in one group, as in the archive."""
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values("ord")
         members = [(bytes(n), t, bytes(d)) for n, t, d in zip(rows["raw_name"], rows["file_type"], rows["data"], strict=True)]
         return pd.DataFrame([(key[0], archives.write_lynx(members), len(members))], columns=["image", "content", "n_files"])
 
-    rows = files.filter(F.col("file_type").isin("PRG", "SEQ", "USR") & F.col("data").isNotNull()).select(F.col(image).alias("image"), "ord", "raw_name", "file_type", "data")
+    rows = files.filter((F.octet_length("data") > 0) & (F.octet_length("raw_name") > 0)).select(F.col(image).alias("image"), "ord", "raw_name", "file_type", "data")
     return rows.groupBy("image").applyInPandas(pack, "image string, content binary, n_files bigint")
 
 

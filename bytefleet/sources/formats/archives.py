@@ -19,36 +19,38 @@ def file_type(prefix: str) -> str | None:
 
 
 def read_tape(content: bytes) -> list[dict]:
-    """Entries of a tape image. Payloads of programs begin with their load address."""
+    """Entries of a tape image.
+
+    A size counts the end address; an end that is known to be broken becomes the next distinct start less one, or the file's last
+    byte. A program's payload is its load address and one byte less than its size, others have one byte more.
+    """
     if content[:3] != b"C64" or len(content) < 64:
         raise FormatError("no tape image")
     slots = int.from_bytes(content[34:36], "little")
-    entries = [content[64 + 32 * k : 96 + 32 * k] for k in range(slots)]
-    entries = [e for e in entries if len(e) == 32 and e[0] == 1]
-    starts = sorted({int.from_bytes(e[8:11], "little") for e in entries})
+    places = [k for k in range(64, 64 + 32 * slots, 32) if k + 32 <= len(content) and content[k] == 1]
+    loads = {k: int.from_bytes(content[k + 2 : k + 4], "little") for k in places}
+    starts = sorted(set(loads.values()))
     out = []
-    for e in entries:
-        begin, end, at = int.from_bytes(e[2:4], "little"), int.from_bytes(e[4:6], "little"), int.from_bytes(e[8:11], "little")
-        size = end - begin + 1
+    for k in places:
+        entry = content[k : k + 32]
+        end, at = int.from_bytes(entry[4:6], "little"), int.from_bytes(entry[8:11], "little")
         if end == BROKEN_END:
-            follow = next((s for s in starts if s > at), len(content))
-            size = follow - at
-        size = max(0, min(size, len(content) - at + 1))
-        kind = TYPES[e[1] & 7] if e[1] & 7 < len(TYPES) else "PRG"
-        body = content[at : at + size]
-        data = e[2:4] + body if kind == "PRG" or e[1] & 7 == 1 or e[1] >= 128 else body
-        raw = padded_name(e[16:32], b"\xa0\x00\x20")
+            end = next((s for s in starts if s > loads[k]), len(content)) - 1
+        size = max(0, end - loads[k] + 1)
+        program = entry[1] != 0
+        data = entry[2:4] + content[at : at + max(0, size - 1)] if program else content[at : at + size + 1]
+        raw = padded_name(entry[16:32], b"\xa0\x00\x20")
         name = petscii(raw)
-        out.append(_row("/" + name, raw, kind, blocks=-(-size // DATA), size=len(data), data=data, header=e))
+        out.append(_row("/" + name, raw, "PRG" if program else "SEQ", blocks=size // DATA, size=size, data=data, header=entry, dir_loc=[k & 255, k >> 8 & 255, k >> 16 & 255]))
     return out
 
 
 def write_tape(members: list[tuple[str, int, bytes]], title: str = "TAPE") -> bytes:
-    """(name, load address, body) as a tape image."""
+    """(name, load address, body) as a tape image; end addresses stand one behind the last byte."""
     head = b"C64 tape image file".ljust(32, b"\x00") + (0x0101).to_bytes(2, "little") + len(members).to_bytes(2, "little") * 2 + bytes(2) + title.encode().ljust(24)
     at, entries, body = 64 + 32 * len(members), b"", b""
     for name, load, data in members:
-        entries += bytes([1, 0x82]) + load.to_bytes(2, "little") + (load + len(data) - 1).to_bytes(2, "little") + bytes(2) + (at + len(body)).to_bytes(4, "little") + bytes(4) + name.upper().encode()[:16].ljust(16)
+        entries += bytes([1, 0x82]) + load.to_bytes(2, "little") + (load + len(data)).to_bytes(2, "little") + bytes(2) + (at + len(body)).to_bytes(4, "little") + bytes(4) + name.upper().encode()[:16].ljust(16)
         body += data
     return head[:64].ljust(64, b"\x00") + entries + body
 
@@ -57,66 +59,73 @@ def write_tape(members: list[tuple[str, int, bytes]], title: str = "TAPE") -> by
 
 
 def read_lynx(content: bytes) -> list[dict]:
+    """Members of a LYNX archive. One that is cut short ends the reading: those before it have their data, unless it is the first.
+
+    The last member may lack up to 1,024 bytes of its size; they are zero.
+    """
     at = content.find(b"\x00\x00\x00")
-    fields_at = at + 3 if at >= 0 else 0
-    fields_at += 1 if content[fields_at : fields_at + 1] == b"\r" else 0
-    lines, k = [], fields_at
+    if at < 0:
+        raise FormatError("no end of the program in front")
+    at += 3
 
     def line() -> bytes:
-        nonlocal k
-        end = content.find(b"\r", k)
+        nonlocal at
+        while content[at : at + 1] == b"\r":  # empty lines don't count
+            at += 1
+        end = content.find(b"\r", at)
         if end < 0:
             raise FormatError("a line of the header is missing")
-        text, k = content[k:end], end + 1
+        text, at = content[at:end], end + 1
         return text
 
-    first = line()
-    words = first.split()
-    if b"LYNX" not in first.upper() or not words or not words[0].isdigit():
+    words = line().upper().split()
+    if not any(b"LYNX" in w for w in words) or not words[0].isdigit() or not int(words[0]):
         raise FormatError("no LYNX mark")
-    blocks = int(words[0])
-    count = int(words[-1]) if words[-1].isdigit() and int(words[-1]) < 1000 else int(line().strip() or b"-1")
-    if count < 0 or blocks * DATA > len(content) + 1024:
-        raise FormatError("the header is broken")
-    for _ in range(count):
-        name, size, kind = line(), line().strip(), line().strip().decode("latin-1")
-        last = line().strip()
-        if not size.isdigit() or not last.isdigit():
+    count = words[-1] if words[-1].isdigit() and 0 < int(words[-1]) < 1000 else line().strip()
+    if not count.isdigit():
+        raise FormatError("the number of entries is missing")
+    body, out = int(words[0]) * DATA, []
+    if len(content) < body:
+        raise FormatError("the directory is cut short")
+    for _ in range(int(count)):
+        raw, blocks, kind, last = line(), line().strip(), line().strip().decode("latin-1"), line().strip()
+        if not blocks.isdigit() or not 1 <= len(kind) <= 3 or file_type(kind) is None or at > body:
             raise FormatError("an entry is broken")
-        lines.append((padded_name(name), int(size), _LETTER.get(kind.upper()[:1], "PRG"), int(last)))
-    out, at = [], blocks * DATA
-    for n, (raw, size, kind, last) in enumerate(lines):
-        length = max(0, (size - 1) * DATA + last - 1)
-        data = content[at : at + length]
-        if len(data) < length and (n + 1 < len(lines) or length - len(data) >= 1024):
-            raise FormatError("the archive is cut short")
-        name = petscii(raw)
-        out.append(_row(name, raw, kind, blocks=size, size=len(data), data=data))
-        at += size * DATA
+        raw = padded_name(raw)
+        out.append(_row(petscii(raw), raw, file_type(kind), blocks=int(blocks), size=max(0, (int(blocks) - 1) * DATA + (int(last) if last.isdigit() else 0) - 1)))
+    at = body
+    for k, row in enumerate(out):
+        whole = -(-row["size"] // DATA) * DATA
+        data = content[at : at + whole]
+        if len(data) < whole and (k + 1 < len(out) or len(data) < row["size"] - 1024):
+            if k == 0:
+                raise FormatError("the first member is cut short")
+            break
+        row["data"] = data[: row["size"]].ljust(row["size"], b"\x00")
+        at += whole
     return out
 
 
-def write_lynx(members: list[tuple[bytes, str, bytes]], title: str = "BY BYTEFLEET") -> bytes:
-    """(raw name, type, data) as a LYNX archive that also lists as a BASIC program. A last member that fills its last block is followed by a whole block of padding."""
+def write_lynx(members: list[tuple[bytes, str, bytes]], title: str = "ARCHIVE BY BYTEFLEET") -> bytes:
+    """(raw name, type, data) as a LYNX archive that also lists as a BASIC program. Members without a name or data are left out; the last one isn't padded."""
+    members = [m for m in members if m[0] and m[2]]
+    if not members:
+        raise FormatError("nothing to pack")
+    stub = b"\x01\x08\x5b\x08\x0a\x00\x9953280,0:\x89\x31\x30\x00\x00\x00\r"
 
     def header(blocks: int) -> bytes:
-        text = f" {blocks}  *LYNX {title}\r {len(members)} \r".encode()
+        text = f" {blocks:<3}*LYNX {title}\r {len(members):<3}\r".encode()
         for raw, kind, data in members:
-            n = max(1, -(-len(data) // DATA))
-            last = len(data) - (n - 1) * DATA + 1 if data else 1
-            text += raw.ljust(16, b"\xa0") + f"\r {n} \r{kind[0]}\r {last} \r".encode()
-        stub = b"\x01\x08[\x08\n\x00\x97" + b"53280,0:" + b"\x97" + b"53281,0:" + b"\x99" + b'"\x93" ' + b"\x00\x00\x00\r"
+            text += raw[:16].ljust(16, b"\xa0") + f"\r {-(-len(data) // DATA)}\r{kind[0]}\r {(len(data) - 1) % DATA + 2} \r".encode()
         return stub + text
 
     size = 1
     while -(-len(header(size)) // DATA) > size:
         size += 1
     out = header(size).ljust(size * DATA, b"\x00")
-    for _, _, data in members:
-        out += data.ljust(max(1, -(-len(data) // DATA)) * DATA, b"\x00")
-    if members and members[-1][2] and len(members[-1][2]) % DATA == 0:
-        out += bytes(DATA)
-    return out
+    for _, _, data in members[:-1]:
+        out += data.ljust(-(-len(data) // DATA) * DATA, b"\x00")
+    return out + members[-1][2]
 
 
 # libraries
@@ -142,7 +151,9 @@ def read_library(content: bytes) -> list[dict]:
     out = []
     for raw, kind, size in entries:
         raw = padded_name(raw)
-        out.append(_row(petscii(raw), raw, kind, blocks=-(-size // DATA), size=size, data=content[k : k + size]))
+        if k + size > len(content):
+            raise FormatError("the data end early")
+        out.append(_row(petscii(raw), raw, kind, blocks=1 + size // DATA, size=size, data=content[k : k + size]))
         k += size
     return out
 
@@ -192,26 +203,27 @@ def _huffman(bits: _Bits, table: dict[tuple[int, int], int]):
 
 
 def _lzw(bits: _Bits):
-    """Codes of 9 to 12 bits; 256 ends, 258 is the first that is made."""
+    """Codes of 9 to 12 bits, wider after 254, 512 and 1,024 of them; 256 ends, 258 is the first that is made."""
     words = {k: bytes([k]) for k in range(256)}
-    following, width, previous = 258, 9, None
+    following, width, span, left, previous = 258, 9, 256, 254, None
     while True:
         code = bits.high_first(width)
         if code == 256:
             return
-        if previous is None:
-            word = words[code]
-        elif code in words:
+        if width < 12:
+            left -= 1
+            if not left:
+                span, width = span * 2, width + 1
+                left = span
+        if code in words:
             word = words[code]
-        elif code == following:
+        elif previous is not None and code == following:
             word = previous + previous[:1]
         else:
             raise FormatError("no such code")
         if previous is not None and following < 4096:
             words[following] = previous + word[:1]
             following += 1
-            if following in (512, 1024, 2048):
-                width += 1
         previous = word
         yield from word
 
@@ -254,15 +266,14 @@ def read_arc(content: bytes) -> list[dict]:
             else:
                 source = iter(content[k:])
             data, total = _expand(source, escape if mode not in (0, 2) else None, size if mode != 5 else 65536, version)
+            if mode == 5:  # what a single pass could not know stands behind the codes
+                check, size, _ = bits.high_first(16), bits.high_first(24), bits.high_first(16)
+                blocks, data = -(-(bits.at - at) // DATA), data[:size]
         except EOFError:
             raise FormatError(f"{petscii(raw)}: cut short") from None
-        if mode == 5:  # size and checksum follow the codes
-            tail = bits.at
-            size, check = int.from_bytes(content[tail : tail + 3], "little") or len(data), int.from_bytes(content[tail + 3 : tail + 5], "little") or check
-            data = data[:size]
-        if total & 0xFFFF != check and mode != 5:
+        if total & 0xFFFF != check:
             raise FormatError(f"{petscii(raw)}: checksum")
-        out.append(_row(petscii(raw), raw, _LETTER[kind], blocks=-(-len(data) // DATA), size=len(data), data=data))
+        out.append(_row(petscii(raw), raw, _LETTER[kind], blocks=1 + len(data) // DATA, size=len(data), data=data))
         at += blocks * DATA
         if not blocks:
             break
@@ -321,6 +332,8 @@ def read_wraptor(content: bytes) -> list[dict]:
         if end < 0 or end + 1 >= len(content):
             raise FormatError("a member is cut short")
         raw, kind = content[at + 4 : end], content[end + 1]
+        if not 1 <= kind <= 4:
+            raise FormatError("no such file type")
         bits, data, width = _MsbBits(content, end + 2), bytearray(), 8
         try:
             while True:
@@ -331,17 +344,18 @@ def read_wraptor(content: bytes) -> list[dict]:
                 if not back:
                     if not bits.take(1):
                         break
-                    width = min(15, width + 1)
+                    width += 1
+                    if width > 15:
+                        raise FormatError("offsets are too wide")
                     continue
-                n, window = bits.take(5), max(0, len(data) - 32768)
-                for k in range(n):
-                    data.append(data[window + back - 1 + k])
+                for k in range(bits.take(5)):
+                    data.append(data[(len(data) >> 15 << 15) + back - 1 + k])  # offsets count from the start of the present 32,768 bytes
         except (EOFError, IndexError):
             raise FormatError("a member is cut short") from None
         at = bits.at + 2
         if int.from_bytes(content[bits.at : at], "big") != crc16(bytes(data)):
             raise FormatError(f"{petscii(raw)}: checksum")
-        out.append(_row(petscii(raw), raw, TYPES[kind] if 1 <= kind <= 4 else "PRG", blocks=-(-len(data) // DATA), size=len(data), data=bytes(data)))
+        out.append(_row(petscii(raw), raw, TYPES[kind], blocks=-(-len(data) // DATA), size=len(data), data=bytes(data)))
     if not out:
         raise FormatError("no such archive")
     return out

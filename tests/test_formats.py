@@ -99,8 +99,7 @@ def test_archive_round_trips(members):
         return [(r["raw_name"], r["file_type"], r["data"]) for r in rows]
 
     assert shown(archives.read_library(archives.write_library(members))) == members
-    for version in (1, 2):
-        assert shown(archives.read_arc(archives.write_arc(members, version) if version == 2 else b"" + archives.write_arc(members, 2))) == members
+    assert shown(archives.read_arc(archives.write_arc(members, 2))) == members
     if all(data for _, _, data in members):
         assert shown(archives.read_lynx(archives.write_lynx(members))) == members
     raw, kind, data = members[0]
@@ -112,12 +111,100 @@ def test_tape_and_broken_end():
     tape = bytearray(archives.write_tape([("ONE", 2049, b"a" * 300), ("TWO", 4096, b"b" * 50)]))
     rows = archives.read_tape(bytes(tape))
     assert [(r["file_path"], r["data"]) for r in rows] == [("/one", b"\x01\x08" + b"a" * 300), ("/two", b"\x00\x10" + b"b" * 50)]
-    tape[68:70] = (50118).to_bytes(2, "little")
-    assert archives.read_tape(bytes(tape))[0]["data"] == b"\x01\x08" + b"a" * 300
+    tape = bytearray(archives.write_tape([("ONE", 2049, b"a" * 300), ("TWO", 2349, b"b" * 50)]))
+    tape[68:70] = tape[100:102] = (archives.BROKEN_END).to_bytes(2, "little")
+    fixed = archives.read_tape(bytes(tape))
+    assert fixed[0]["size"] == 300 and fixed[0]["data"] == b"\x01\x08" + b"a" * 299  # up to the next start
+    assert fixed[1]["data"] == b"\x2d\x09" and fixed[1]["size"] == 0  # the file ends before such a load address
     with pytest.raises(FormatError):
         archives.read_tape(b"nothing")
 
 
+class Bits:
+    """Bits as the archive's coder writes them: each byte from its lowest bit up."""
+
+    def __init__(self):
+        self.bits = []
+
+    def high_first(self, value, n):
+        self.bits += [value >> k & 1 for k in range(n - 1, -1, -1)]
+
+    def low_first(self, value, n):
+        self.bits += [value >> k & 1 for k in range(n)]
+
+    def bytes(self):
+        padded = self.bits + [0] * (-len(self.bits) % 8)
+        return bytes(sum(b << k for k, b in enumerate(padded[j : j + 8])) for j in range(0, len(padded), 8))
+
+
+def total(data):
+    return sum(b ^ (k + 1 & 255) for k, b in enumerate(data)) & 0xFFFF
+
+
+def lzw(data, bits):
+    words, following, width, span, left, now = {bytes([k]): k for k in range(256)}, 258, 9, 256, 254, b""
+
+    def put(code):
+        nonlocal width, span, left
+        bits.high_first(code, width)
+        if width < 12:
+            left -= 1
+            if not left:
+                span, width = span * 2, width + 1
+                left = span
+
+    for b in data:
+        if now + bytes([b]) in words:
+            now += bytes([b])
+            continue
+        put(words[now])
+        if following < 4096:
+            words[now + bytes([b])] = following
+            following += 1
+        now = bytes([b])
+    put(words[now])
+    put(256)
+
+
+def arc_member(mode, body, size, check, extra=b""):
+    head = bytes([2, mode]) + check.to_bytes(2, "little") + size.to_bytes(3, "little")
+    tail = b"P" + bytes([4]) + b"NAME" + bytes(3) + extra
+    blocks = -(-(len(head) + 2 + len(tail) + len(body)) // 254)
+    return (head + blocks.to_bytes(2, "little") + tail + body).ljust(blocks * 254, b"\x00")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_coded_archive_members(seed):
+    draw = random.Random(seed)
+    data = bytes(draw.choice(b"abcd\x00\xff") for _ in range(40 + 2500 * seed)) + b"z" * 30
+    plain, check = data.replace(b"\xfe", b"x"), total(data)
+    runs = plain[:-30] + bytes([254, 30]) + b"z"
+    bits = Bits()
+    lzw(plain, bits)
+    assert archives.read_arc(arc_member(3, bits.bytes(), len(data), check))[0]["data"] == data
+    assert archives.read_arc(arc_member(1, runs, len(data), check, extra=b"\xfe"))[0]["data"] == data
+    one_pass = Bits()
+    lzw(runs, one_pass)
+    for value, n in ((check, 16), (len(data), 24), (0, 16)):
+        one_pass.high_first(value, n)
+    follow = archives.write_arc([(b"B", "SEQ", b"next")], 2)
+    rows = archives.read_arc(arc_member(5, one_pass.bytes(), 0, 0) + follow)
+    assert [r["data"] for r in rows] == [data, b"next"]
+    codes = {b"a"[0]: (1, 0), b"b"[0]: (3, 0b001), b"c"[0]: (3, 0b011), b"d"[0]: (3, 0b101), 0: (4, 0b0111), 255: (5, 0b01111), b"z"[0]: (6, 0b011111), 254: (6, 0b111111)}
+    for mode, text in ((2, plain), (4, runs[:-3] + bytes([254, 97, 97]))):
+        bits = Bits()
+        for value in range(256):
+            n, code = codes.get(value, (0, 0))
+            bits.low_first(n, 5)
+            if n:
+                bits.low_first(code, n)
+        for b in text:
+            n, code = codes[b]
+            bits.low_first(code, n)
+        want = plain if mode == 2 else plain[:-30] + b"a" * 97
+        assert archives.read_arc(arc_member(mode, bits.bytes(), len(want), total(want)))[0]["data"] == want
+
+
 def test_volumes():
     image, _ = filled("D64")
     assert volumes.unpack_four(volumes.pack_four(image)) == image
