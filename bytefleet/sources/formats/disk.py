@@ -219,11 +219,11 @@ class Disk:
         for k in range(0, DATA, 2):
             at = (index[2 + k], index[3 + k])
             if not at[0]:
-                table[k : k + 2] = bytes([0, 255 if at[1] else 0])
+                table[k : k + 2] = b"\x00\xff"
                 continue
             data, own = self.chain(*at)
             sectors += own
-            table[k : k + 2] = bytes([min(255, -(-len(data) // DATA)), (len(data) - 1) % DATA + 2 if data else 0])
+            table[k : k + 2] = bytes([-(-len(data) // DATA) & 255, len(data) % DATA + 1])
             parts.append(data)
         body = b"".join(p + bytes(-len(p) % DATA) for p in parts[:-1]) + (parts[-1] if parts else b"")
         return bytes(block) + header[2:] + bytes(table) + body, sectors

@@ -255,6 +255,45 @@ def test_names():
     assert archives.file_type("P") == "PRG" and archives.file_type("") is None and archives.file_type("X") is None
 
 
+def written(image, kind, sectors, entry):
+    """The image with raw sectors and a raw directory entry in the first slot."""
+    out, g = bytearray(image), of(kind, len(image))
+    for (track, sector), data in sectors.items():
+        o = g.offset(track, sector)
+        out[o : o + 256] = data.ljust(256, b"\x00")
+    o = g.offset(18, 1) + 2
+    out[o : o + len(entry)] = entry
+    return Disk(bytes(out), kind)
+
+
+def raw_entry(kind, first, name, side=(0, 0), extra=0, blocks=1):
+    return bytes([128 | kind, *first]) + name.ljust(16, b"\xa0") + bytes([*side, extra]) + bytes(6) + blocks.to_bytes(2, "little")
+
+
+def test_geos_files():
+    info = b"\x00\xff" + bytes(range(254))
+    first, second = b"r" * 300, b"s" * 100
+    sectors = {(10, 0): info, (10, 1): b"\x00\xff" + bytes([10, 2, 0, 255, 10, 4]), (10, 2): bytes([10, 3]) + first[:254], (10, 3): bytes([0, 47]) + first[254:], (10, 4): bytes([0, 101]) + second}
+    entry = raw_entry(3, (10, 1), b"LETTER", (10, 0), 1, 5)
+    row = written(formatted("D64"), "D64", sectors, entry).files()[2]
+    data = row["data"]
+    assert row["file_name"] == "LETTER" and row["header"] == info and data[30:58] == b"PRG formatted GEOS file V1.0" and data[1:3] == b"\x00\x00"
+    assert data[254:508] == info[2:] and data[508:514] == bytes([2, 47, 0, 255, 1, 101])
+    assert data[762:] == first.ljust(508, b"\x00") + second and set(row["sectors"]) == {(10, k) for k in range(5)}
+    plain = written(formatted("D64"), "D64", {(10, 0): info, (10, 1): bytes([0, 11]) + b"contents.."}, raw_entry(3, (10, 1), b"PLAIN", (10, 0)))
+    assert plain.files()[2]["data"][508:] == b"contents.."
+
+
+def test_relative_files_and_partitions():
+    side = bytes([0, 20, 0, 30]) + bytes([10, 0])
+    disk = written(formatted("D64"), "D64", {(10, 0): bytes([0, 31]) + b"x" * 30, (10, 1): side}, raw_entry(4, (10, 0), b"REL", (10, 1), 30))
+    row = disk.files()[2]
+    assert row["file_type"] == "REL" and row["data"] == b"x" * 30 and set(row["sectors"]) == {(10, 0), (10, 1)}
+    wrong = written(formatted("D64"), "D64", {(10, 0): bytes([0, 31]) + b"x" * 30, (10, 1): side}, raw_entry(4, (10, 0), b"REL", (10, 1), 31))
+    wrong.files()
+    assert wrong.errors
+
+
 def test_cpm():
     image = bytearray(formatted("D64", "CP/M PLUS", "65 2A"))
     image[:3] = b"CBM"
