@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from bytefleet.llm.common import hashed_share, map_text, worker_state
 
 TRAIN_ROWS, VOTERS, LEAST_DOCS, LEAST_LIFT, THRESHOLD = 3000, 400, 3, 8.0, 0.7
+#: The hash picks about 2 x TRAIN_ROWS rows; where many labels share an id, the sample still ends here.
+SAMPLE_BOUND = 4 * TRAIN_ROWS
 BEGINNINGS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 # Common English insults, as a voter of its own.
@@ -128,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = F.lit(False)
     for y, n in sorted(sizes.items()):
         picked = picked | ((F.col("y") == y) & (hashed_share("id", TRAIN_ROWS, n)))
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known.filter(picked)), "id").select("text", "y")  # about 2 x TRAIN_ROWS ids: bounded
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known.filter(picked).limit(SAMPLE_BOUND)), "id").select("text", "y")
 
     def mine(batches):
         for pdf in batches:
@@ -147,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for pdf in batches:
             yield pd.DataFrame({"fired": [mine.fired(t) for t in pdf["text"]], "y": pdf["y"]})
 
-    rows = sorted((r["y"], tuple(r["fired"])) for r in sample.mapInPandas(vote, "fired array<int>, y int").collect())  # a bounded sample
+    rows = sorted((r["y"], tuple(r["fired"])) for r in sample.mapInPandas(vote, "fired array<int>, y int").limit(SAMPLE_BOUND).collect())
     votes = np.zeros((len(rows), len(voters.names)), bool)
     for k, (_, fired) in enumerate(rows):
         votes[k, list(fired)] = True
