@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: a fixed list of insults, words and word beginnings mined from labelled rows, and
-patterns. A generative label model estimates each voter's rates under either class and the correlations between
+Many voters look at a text: a fixed list of insults, words and word beginnings (met once, twice or three times) mined
+from labelled rows, and patterns. A generative label model estimates each voter's rates under either class and the correlations between
 voters (which share their weight), by expectation-maximisation over the votes, anchored in the labels; a linear classifier is then
 trained on its posterior labels. Scores need the text alone.
 
@@ -15,6 +15,8 @@ both classes, all scores are 0; repeated labels of one document count each; one
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Set
 
 import numpy as np
 import pandas as pd
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 
 from bytefleet.llm.common import hashed_share, map_text, worker_state
 
-TRAIN_ROWS, VOTERS, LEAST_DOCS, LEAST_LIFT, THRESHOLD = 3000, 400, 3, 8.0, 0.7
+TRAIN_ROWS, VOTERS, LEAST_DOCS, LEAST_LIFT, THRESHOLD, CORRELATED = 3000, 400, 3, 8.0, 0.7, 0.45
 #: The hash picks about 2 x TRAIN_ROWS rows; where many labels share an id, the sample still ends here.
 SAMPLE_BOUND = 4 * TRAIN_ROWS
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS, TIMES = (4, 5, 6, 7, 8), (1, 2, 3)
 _WORD = re.compile(r"[^\W\d_]+")
 # Common English insults, as a voter of its own.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers pathetic worthless disgusting scum trash clown fool jerk bastard filth vermin hateful".split())
@@ -41,7 +43,16 @@ def features(word: str) -> list[str]:
     return ["=" + word, *(word[:k] + "*" for k in BEGINNINGS if len(word) >= k)]
 
 
-def patterns(lowered: str, words: set[str]) -> list[str]:
+def traits(text: str | None) -> list[str]:
+    """All that a text could be mined for: its features, and with a number those that it has so many times."""
+    times: Counter = Counter()
+    for w, n in Counter(_WORD.findall((text or "").lower())).items():
+        for f in features(w):
+            times[f] += n
+    return [f if k == 1 else f"{f}{k}" for f, n in times.items() for k in TIMES if n >= k]
+
+
+def patterns(lowered: str, words: Set[str]) -> list[str]:
     """Names of the fixed voters that vote for toxic."""
     found = []
     if not INSULTS.isdisjoint(words):
@@ -61,32 +72,40 @@ class Voters:
     def __init__(self, mined: list[str]):
         self.names = [*PATTERNS, *mined]
         self.index = {n: k for k, n in enumerate(self.names)}
+        # a feature's voters, with the times that each of them asks for; words have no digits
+        self.asked: dict[str, list[tuple[int, int]]] = {}
+        for n in mined:
+            base, times = (n[:-1], int(n[-1])) if n[-1].isdigit() else (n, 1)
+            self.asked.setdefault(base, []).append((times, self.index[n]))
         self.known: dict[str, tuple] = {}
 
     def fired(self, text: str | None) -> list[int]:
         lowered = (text or "").lower()
-        words, known = set(_WORD.findall(lowered)), self.known
-        found = {self.index[n] for n in patterns(lowered, words)}
-        for w in words:
+        words, known = Counter(_WORD.findall(lowered)), self.known
+        found = {self.index[n] for n in patterns(lowered, words.keys())}
+        times: dict[str, int] = {}
+        for w, n in words.items():
             hit = known.get(w)
             if hit is None:
-                hit = tuple(self.index[f] for f in features(w) if f in self.index)
+                hit = tuple(f for f in features(w) if f in self.asked)
                 if len(known) >= _KNOWN_WORDS:
                     known.clear()
                 if len(w) <= 64:
                     known[w] = hit
-            if hit:
-                found.update(hit)
+            for f in hit:
+                times[f] = times.get(f, 0) + n
+        for f, n in times.items():
+            found.update(k for least, k in self.asked[f] if n >= least)
         return sorted(found)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of toxic for each row, share of its weight that each voter keeps), from votes [row, voter] in {0, 1}.
 
     `start` holds what is known of the rows beforehand; it anchors the classes (their rates come from it and from
     the posteriors in equal parts), so that they can't drift apart from what the voters were mined for. A voter that doesn't fire abstains; a row on which none fires
     has the vote of the voter "none fired". Correlations are those left within classes; a voter that moves
-    together with others counts 1 / (1 + sum of squared correlations).
+    together with others counts 1 / (1 + sum of squared correlations), those under CORRELATED being taken for chance.
     """
     silent = (votes.sum(1, keepdims=True) == 0).astype(float)
     v = np.hstack([votes.astype(float), silent])
@@ -100,7 +119,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 10) -> tuple
         scale = left.std(0) + 1e-6
         corr = (left.T @ left) / len(v) / np.outer(scale, scale)
         np.fill_diagonal(corr, 0)
-        keep = 1 / (1 + (corr**2).sum(1))
+        keep = 1 / (1 + np.where(np.abs(corr) >= CORRELATED, corr**2, 0).sum(1))
         odds = np.log(prior / (1 - prior)) + v @ (keep * np.log(np.clip(rate1, 1e-6, 1) / np.clip(rate0, 1e-6, 1)))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return post, keep
@@ -134,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def mine(batches):
         for pdf in batches:
-            rows = [(f, y) for t, y in zip(pdf["text"], pdf["y"], strict=True) for f in {f for w in set(_WORD.findall((t or "").lower())) for f in features(w)}]
+            rows = [(f, y) for t, y in zip(pdf["text"], pdf["y"], strict=True) for f in traits(t)]
             frame = pd.DataFrame(rows, columns=["feature", "y"])
             yield frame.groupby("feature", as_index=False)["y"].agg(pos="sum", n="count")[["feature", "pos", "n"]]
 
