@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bytefleet.functions import scalars as X
-from bytefleet.functions.text import hex_inside, inside_matches, name_matches
+from bytefleet.functions.text import hex_inside, inside_matches
 from bytefleet.operators import listing, search
 from bytefleet.plans.tables import table
 from bytefleet.plans.views import DOCUMENTS_SQL, documents, parts, up

@@ -1,7 +1,6 @@
 """Containers: what the writers make, the parsers read; broken input is refused."""
 
 import gzip
-import io
 import random
 import zipfile
 
