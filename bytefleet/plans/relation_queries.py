@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bytefleet.operators import compare, duplicates, integrity, matching
@@ -26,6 +27,22 @@ def _found(kind):
     return run
 
 
+def _whole_disk(spark, sf_dir, even):
+    # every document has a path of its own: the row number tells apart those of one image pair, language and run of ids
+    f = documents(spark, sf_dir).filter(_even() if even else ~_even())
+    cell = F.concat_ws("/", F.floor(F.substring("image", 4, 5).cast("int") / 2).cast("string"), "lang", F.floor(F.col("doc_id") / 20).cast("string"), F.col("file_type"))
+    rows = f.select(cell.alias("cell"), "doc_id", F.col("lang").alias("name"), F.col("file_type").alias("type"), F.octet_length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("digest"))
+    n = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "digest"))
+    return rows.select(F.concat_ws("/", "cell", n.cast("string")).alias("path"), "name", "type", "size", "digest")
+
+
+def _found_in_all(kind):
+    def run(spark, sf_dir):
+        return compare.compare(_whole_disk(spark, sf_dir, True), _whole_disk(spark, sf_dir, False)).filter(F.col("kind") == kind)
+
+    return run
+
+
 def _catalog(spark, sf_dir):
     f = documents(spark, sf_dir)
     return duplicates.digests(f.withColumn("path", F.lpad(F.col("doc_id").cast("string"), 12, "0")), "path", "data", "image")
@@ -163,7 +180,8 @@ def file_issues(spark, sf_dir):
     return integrity.file_issues(files, integrity.allocation(_bam(spark, sf_dir), used), used)
 
 
-QUERIES = {f"compare_{k}": _found(k) for k in ("differs", "moved", "missing1", "missing2")} | {
+_KINDS = ("differs", "moved", "missing1", "missing2")
+QUERIES = {f"compare_{k}": _found(k) for k in _KINDS} | {f"compare_all_{k}": _found_in_all(k) for k in _KINDS} | {
     f.__name__: f
     for f in (dup_groups, coverage_by_dir, coverage_missing, unknown_files, first_partner, collision_suffix, approx_pairs, match_classes, match_exact_pairs, match_diff_same_name, match_summary, full_containment, running_match_pct, alloc_check, alloc_counts, alloc_repair, affected_files, free_by_track, total_free, cross_links, free_blocks, file_issues)
 }
@@ -227,3 +245,6 @@ SELECT id1, id2, CASE WHEN equal AND approx = 0 THEN 'MATCH' WHEN equal THEN 'M-
     "file_issues": f"""{_M}, {_LINKS}, {_AFFECTED} SELECT image, file, CAST(NULL AS BIGINT) AS other, 'block count' AS kind FROM n WHERE file % 2 = 0
 UNION ALL SELECT image, file, NULL, 'not allocated' FROM af UNION ALL SELECT image, file, other, kind FROM l""",
 }
+# compare_all_*: the comparisons above over all documents, each at a path of its own
+_WHOLE = """SELECT cell || '/' || row_number() OVER (PARTITION BY cell ORDER BY doc_id, digest) AS path, name, type, size, digest FROM (SELECT concat_ws('/', CAST(CAST(floor(CAST(substr(image, 4, 5) AS INTEGER) / 2) AS BIGINT) AS VARCHAR), lang, CAST(CAST(floor(doc_id / 20) AS BIGINT) AS VARCHAR), file_type) AS cell, doc_id, lang AS name, file_type AS type, octet_length(data) AS size, sha256(text) AS digest FROM f WHERE CAST(substr(image, 4, 5) AS INTEGER) % 2 = {})"""
+ORACLE_SQL |= {f"compare_all_{k}": ORACLE_SQL[f"compare_{k}"].replace(_DISK.format(0), _WHOLE.format(0)).replace(_DISK.format(1), _WHOLE.format(1)) for k in _KINDS}

@@ -193,3 +193,19 @@ def test_query_against_sql(spark, duck, name):
     want = sorted((tuple(r[i] for i in place) for r in relation.fetchall()), key=repr)
     assert len(got) == len(want)
     assert all(_same(x, y) for g, w in zip(got, want, strict=True) for x, y in zip(g, w, strict=True))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_whole_comparison_accounts_for_every_document(spark):
+    found = {k: registry.QUERIES[f"compare_all_{k}"](spark, SF).collect() for k in ("differs", "moved", "missing1", "missing2")}
+    from bytefleet.plans.relation_queries import _whole_disk
+
+    sides = [[r["path"] for r in _whole_disk(spark, SF, even).collect()] for even in (True, False)]
+    sources = [r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("source").collect()]
+    for n, paths in enumerate(sides):
+        assert len(paths) == len(set(paths)) == sum(int(s[3:8]) % 2 == n for s in sources)
+    # what is on one side alone is found as moved or missing
+    only = [set(sides[0]) - set(sides[1]), set(sides[1]) - set(sides[0])]
+    assert only[0] == {r["path1"] for k in ("moved", "missing2") for r in found[k]}
+    assert only[1] == {r["path2"] for k in ("moved", "missing1") for r in found[k]}
+    assert found["differs"] and {r["path1"] for r in found["differs"]} <= set(sides[0]) & set(sides[1])
