@@ -12,32 +12,47 @@ from pyspark.sql import functions as F
 from bytefleet.operators.duplicates import suffixed
 from bytefleet.sources.formats import FormatError, archives, volumes
 from bytefleet.sources.formats.disk import Disk
-from bytefleet.sources.formats.geometry import image_type
+from bytefleet.sources.formats.geometry import ARCHIVES, image_type, loose_type
 
 CHANGED = "container string, entry string, content binary, error string"
 
 
-def _changed(images: DataFrame, change) -> DataFrame:
+def _changed(images: DataFrame, change, change_tape=None) -> DataFrame:
+    """Each disk and tape changed; what can't be changed, such as an archive, a loose file or a broken member, has an error."""
+
+    def one(entry: str, content: bytes | None, error: str | None) -> bytes:
+        kind = image_type(entry)
+        if content is None:
+            raise FormatError(error or "no content")
+        if kind == "T64" and change_tape:
+            return change_tape(bytes(content))
+        if kind in ARCHIVES or kind is None and loose_type(entry):
+            raise FormatError(f"no such change of {kind or loose_type(entry)}")
+        return change(Disk(bytes(content), kind or "D64"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for container, entry, content in zip(batch["container"], batch["entry"], batch["content"], strict=True):
+            for container, entry, content, error in zip(batch["container"], batch["entry"], batch["content"], batch["error"], strict=True):
                 try:
-                    rows.append((container, entry, change(Disk(bytes(content), image_type(entry) or "D64")), None))
+                    rows.append((container, entry, one(entry, content, error), None))
                 except FormatError as e:
                     rows.append((container, entry, None, str(e)))
+                except (IndexError, ValueError, KeyError) as e:
+                    rows.append((container, entry, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["container", "entry", "content", "error"])
 
-    return images.select("container", "entry", "content").mapInPandas(run, CHANGED)
+    error = F.col("error") if "error" in images.columns else F.lit(None).cast("string").alias("error")
+    return images.select("container", "entry", "content", error).mapInPandas(run, CHANGED)
 
 
 def insert(images: DataFrame, name: str, data: bytes, kind: str = "PRG") -> DataFrame:
-    """Each image with a further file; one without room has an error."""
-    return _changed(images, lambda disk: disk.inserted(name, data, kind))
+    """Each disk and tape with a further file; one without room has an error."""
+    return _changed(images, lambda disk: disk.inserted(name, data, kind), lambda tape: archives.tape_inserted(tape, name, data, kind))
 
 
 def scratch(images: DataFrame, path: str) -> DataFrame:
-    return _changed(images, lambda disk: disk.scratched(path))
+    return _changed(images, lambda disk: disk.scratched(path), lambda tape: archives.tape_scratched(tape, path))
 
 
 def repair_bitmap(images: DataFrame, allocate: bool = True, free: bool = True) -> DataFrame:

@@ -55,6 +55,87 @@ def write_tape(members: list[tuple[str, int, bytes]], title: str = "TAPE") -> by
     return head[:64].ljust(64, b"\x00") + entries + body
 
 
+def _settled_tape(content: bytes) -> tuple[bytearray, list[dict]]:
+    """The tape with the end addresses that its entries are read with, where these hang on the other entries or on the file's end; its rows with `at` and `until` of their bytes."""
+    out, rows = bytearray(content), read_tape(content)
+    for r in rows:
+        k, entry = _tape_place(r), r["header"]
+        load, end, at = (int.from_bytes(entry[a:b], "little") for a, b in ((2, 4), (4, 6), (8, 11)))
+        r |= {"at": at, "until": at + len(r["data"]) - 2 * (entry[1] != 0)}
+        wanted = at + max(0, end - load) if entry[1] else at + max(0, end - load + 1) + 1
+        if end == BROKEN_END or wanted > len(content):
+            out[k + 4 : k + 6] = _tape_end(load, len(r["data"]))
+    return out, rows
+
+
+def _tape_place(row: dict) -> int:
+    return int.from_bytes(bytes(row["dir_loc"]), "little")
+
+
+def _tape_end(load: int, size: int) -> bytes:
+    """The end address with which `size` bytes of payload are read."""
+    end = load + size - 2
+    if not 0 <= end < 65536 or end == BROKEN_END:
+        raise FormatError("no end address can tell the file's size")
+    return end.to_bytes(2, "little")
+
+
+def _moved_tape(out: bytearray, rows: list[dict], behind: int, by: int) -> None:
+    """Entries whose bytes begin at `behind` or later get them `by` bytes further on. The directory has its old place."""
+    for r in rows:
+        if r["at"] >= behind:
+            k = _tape_place(r)
+            out[k + 8 : k + 12] = (r["at"] + by).to_bytes(4, "little")
+
+
+def tape_inserted(content: bytes, name: str, data: bytes, kind: str = "PRG") -> bytes:
+    """The tape with a further file: an entry in a free slot or in a new one behind the last, its bytes at the end. The payloads of the others stay as they are read."""
+    if kind not in ("PRG", "SEQ"):
+        raise FormatError(f"a tape holds no {kind}")
+    if len(data) < (2 if kind == "PRG" else 1):
+        raise FormatError("the file is too short for a tape")
+    out, rows = _settled_tape(content)
+    slots, used = (int.from_bytes(out[k : k + 2], "little") for k in (34, 36))
+    end = 64 + 32 * slots
+    first = min((r["at"] for r in rows), default=len(out))
+    place = next((k for k in range(64, end, 32) if k + 32 <= min(first, len(out)) and not out[k]), None)
+    if place is None:
+        if slots == 65535 or any(r["at"] < end < r["until"] for r in rows):
+            raise FormatError("the directory can't grow")
+        _moved_tape(out, rows, end, 32)
+        out = out.ljust(end, b"\x00")
+        out[end:end] = bytes(32)
+        out[34:36], place = (slots + 1).to_bytes(2, "little"), end
+    load, body = (int.from_bytes(data[:2], "little"), data[2:]) if kind == "PRG" else (2049 if len(data) < 48000 else 0, data)
+    raw = name.swapcase().encode("latin-1", "replace")[:16] if name.islower() else name.encode("latin-1", "replace")[:16]
+    out[place : place + 32] = bytes([1, 0x82 if kind == "PRG" else 0]) + load.to_bytes(2, "little") + _tape_end(load, len(data)) + bytes(2) + len(out).to_bytes(4, "little") + bytes(4) + raw.ljust(16)
+    out[36:38] = min(used + 1, 65535).to_bytes(2, "little")
+    return bytes(out + body)
+
+
+def tape_scratched(content: bytes, path: str) -> bytes:
+    """The tape without a file: its entry is cleared, and those of its bytes go that no other entry reads. By exact path, else with case aside."""
+    out, rows = _settled_tape(content)
+    named = lambda fold: next((r for r in rows if fold(r["file_path"].lstrip("/")) == fold(path.lstrip("/"))), None)
+    gone = named(str) or named(str.lower)
+    if gone is None:
+        raise FormatError(f"no file {path}")
+    others = [r for r in rows if r is not gone]
+    begin, until = max(gone["at"], 64 + 32 * int.from_bytes(out[34:36], "little")), gone["until"]
+    for r in sorted(others, key=lambda r: r["at"]):
+        if r["at"] <= begin < r["until"]:
+            begin = r["until"]
+        elif begin < r["at"] < until:
+            until = r["at"]
+    if begin < until:
+        _moved_tape(out, others, until, begin - until)
+        del out[begin:until]
+    k = _tape_place(gone)
+    out[k : k + 32] = bytes(32)
+    out[36:38] = max(0, int.from_bytes(out[36:38], "little") - 1).to_bytes(2, "little")
+    return bytes(out)
+
+
 # LYNX
 
 

@@ -356,3 +356,45 @@ def test_streaming_catalog(spark, tmp_path):
     rows = catalog.first_seen(catalog.arrivals(spark, str(tmp_path / "in")))
     catalog.follow(rows, str(tmp_path / "table"), str(tmp_path / "cp"), once=True).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "table")).count() == 2
+
+
+def test_tapes_take_and_lose_files():
+    def held(tape):
+        return {r["file_path"]: r["data"] for r in archives.read_tape(tape)}
+
+    tape = archives.write_tape([("ONE", 2049, b"a" * 300), ("TWO", 4096, b"b" * 50), ("SIX", 8192, b"c" * 70)])
+    before = held(tape)
+    more = archives.tape_inserted(tape, "new", b"\x01\x08" + b"n" * 99)
+    assert held(more) == before | {"/new": b"\x01\x08" + b"n" * 99} and more[34:38] == b"\x04\x00\x04\x00"
+    more = archives.tape_inserted(more, "text", b"t" * 40, "SEQ")
+    assert held(more)["/text"] == b"t" * 40 and [r["file_type"] for r in archives.read_tape(more)][-1] == "SEQ"
+    less = archives.tape_scratched(more, "TWO")
+    assert held(less) == {k: v for k, v in held(more).items() if k != "/two"} and len(less) == len(more) - 50
+    again = archives.tape_inserted(less, "back", b"\x00\x10" + b"k" * 20)  # into the slot that is free now
+    assert held(again) == held(less) | {"/back": b"\x00\x10" + b"k" * 20} and again[34:38] == b"\x05\x00\x05\x00"
+    broken = bytearray(tape)
+    broken[68:70] = broken[132:134] = archives.BROKEN_END.to_bytes(2, "little")
+    kept = held(bytes(broken))
+    assert held(archives.tape_inserted(bytes(broken), "new", b"\x02\x08n")) == kept | {"/new": b"\x02\x08n"}
+    assert held(archives.tape_scratched(bytes(broken), "two")) == {k: v for k, v in kept.items() if k != "/two"}
+    for name, data, kind in (("x", b"", "SEQ"), ("x", b"1", "PRG"), ("x", b"123", "USR"), ("x", bytes(70000), "SEQ")):
+        with pytest.raises(FormatError):
+            archives.tape_inserted(tape, name, data, kind)
+    with pytest.raises(FormatError):
+        archives.tape_scratched(tape, "none")
+
+
+def test_changes_of_a_mixed_folder_fail_no_task(spark):
+    from bytefleet.operators import rewrite
+    from bytefleet.sources import containers
+
+    image, _ = filled("D64", 2)
+    tape = archives.write_tape([("ONE", 2049, b"a" * 300)])
+    rows = [("c", "a.d64", image, None), ("c", "b.t64", tape, None), ("c", "c.t64", b"broken", None), ("c", "d.lnx", b"x", None), ("c", "e.prg", b"\x01\x08p", None), ("c", "f.d64", None, "bad member")]
+    entries = spark.createDataFrame([(a, b, None if c is None else bytearray(c), e) for a, b, c, e in rows], containers.ENTRIES)
+    changed = {r["entry"]: r for r in rewrite.insert(entries, "further", b"\x01\x08body").collect()}
+    assert [k for k, r in sorted(changed.items()) if r["error"] is None] == ["a.d64", "b.t64"] and changed["f.d64"]["error"] == "bad member"
+    assert {r["file_path"] for r in archives.read_tape(bytes(changed["b.t64"]["content"]))} == {"/one", "/further"}
+    gone = {r["entry"]: r for r in rewrite.scratch(entries, "ONE").collect()}
+    assert archives.read_tape(bytes(gone["b.t64"]["content"])) == [] and gone["a.d64"]["error"] == "no file ONE"
+    assert {r["entry"] for r in rewrite.repair_bitmap(entries).filter("error is null").collect()} == {"a.d64"}
