@@ -1,18 +1,21 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions alone.
 
 An item is contained in a document if at least `threshold` of its distinct `words`-word shingles occur there. Items are
-short and documents long, so whole-document similarity says little; what counts is the item's own size. Items
-are therefore partitioned by their number of shingles n, and each size has a sketch of its own: the
-k(n) = n - ceil(threshold * n) + 1 shingles with the smallest hashes. A document that contains the item misses at most
-n - ceil(threshold * n) of its shingles, so it has at least one of the sketch: no contained item is lost. Documents that
-meet a sketch are verified by exact containment over all shingles.
+short and documents long, so whole-document similarity says little; what counts is the item's own size. Each
+number of shingles n therefore has a sketch size of its own: k(n) = n - ceil(threshold * n) + 1 shingles of the item, those that the
+fewest items share and among these the ones with the smallest hashes. A document that contains the item misses at most
+n - ceil(threshold * n) of its shingles, so it has at least one of the sketch: no contained item is lost.
 
-Items' tables are small against the corpus. They are broadcast only while their counted rows stay under
+1. Candidates: the documents' shingles meet the sketches alone.
+2. Documents that meet a sketch are read again and verified by exact containment over all shingles of the items that they met.
+
+Items' tables and candidates are small against the corpus. They are broadcast only while their counted rows stay under
 BROADCAST_ROWS; beyond that the same joins are left to shuffle. A shingle that very many items share would pair each of its documents with all
 of them: sketches prefer shingles with few items.
 
 Defined cases: null and empty texts contain nothing and are contained in nothing; a text of fewer words than a shingle
-has its whole word sequence as its only shingle; repeated documents count each by its own row; equal items all match.
+has its whole word sequence as its only shingle; rows that share a doc_id are one document, those without an id too;
+equal items all match; different texts under one item_id, or without an id, are items of their own, with a row each.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bytefleet.llm.common import cut
+
 WORDS, THRESHOLD, BROADCAST_ROWS = 5, 0.8, 500_000
 
 
@@ -42,26 +47,47 @@ def shingles(words: Column, n: int = WORDS) -> Column:
 
 
 def item_sketches(items: DataFrame, item_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = WORDS) -> DataFrame:
-    """(item_id, item_size, shingle, in_sketch): all distinct shingles of each item; the sketch's size goes by the item's size."""
-    hashed = items.select(F.col(item_col).alias("item_id"), word_hashes(F.col(text_col)).alias("w")).select("item_id", F.array_distinct(shingles(F.col("w"), n)).alias("s"))
-    rows = hashed.select("item_id", F.size("s").alias("item_size"), F.explode("s").alias("shingle")).distinct()
+    """(item_key, item_id, item_size, shingle, in_sketch): all distinct shingles of each item; the sketch's size goes by the item's size.
+
+    The key tells apart different texts of one item_id.
+    """
+    hashed = items.select(F.col(item_col).alias("item_id"), word_hashes(F.col(text_col)).alias("w"))
+    keyed = hashed.select(F.xxhash64(F.col("item_id").isNull(), "item_id", "w").alias("item_key"), "item_id", F.array_distinct(shingles(F.col("w"), n)).alias("s"))
+    rows = keyed.select("item_key", "item_id", F.size("s").alias("item_size"), F.explode("s").alias("shingle")).distinct()
     shared = Window.partitionBy("shingle")
-    smallest = Window.partitionBy("item_id").orderBy("items_with", F.xxhash64("shingle", F.lit(1)), "shingle")
+    smallest = Window.partitionBy("item_key").orderBy("items_with", F.xxhash64("shingle", F.lit(1)), "shingle")
     sketch = F.col("item_size") - F.ceil(F.col("item_size") * threshold - 1e-9) + 1
     return rows.withColumn("items_with", F.count("*").over(shared)).withColumn("in_sketch", F.row_number().over(smallest) <= sketch).drop("items_with")
 
 
-def contained_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, n: int = WORDS) -> DataFrame:
-    """(doc_id, item_id, item_size, matched, containment) of every document and item that it contains.
+def exploded(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """(doc_id, shingle) of documents (doc_id, text). The words are hashed in a step of their own, once a document rather than once a shingle."""
+    return docs.select("doc_id", word_hashes(F.col("text")).alias("w")).select("doc_id", F.explode(shingles(F.col("w"), n)).alias("shingle"))
 
-    The document side is one pass: shingles are exploded, and only those that any item has go on.
-    """
+
+def candidates(docs: DataFrame, sketches: DataFrame, n: int = WORDS) -> DataFrame:
+    """(doc_id, item_key) of documents (doc_id, text) that have a shingle of an item's sketch: one narrow pass in which only such shingles go on."""
+    hashed = exploded(docs, n)
+    wanted = sketches.filter("in_sketch").select("shingle", "item_key")
+    return hashed.join(_at_hand(wanted), "shingle").select("doc_id", "item_key").distinct()
+
+
+def _at_hand(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def contained_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, n: int = WORDS) -> DataFrame:
+    """(doc_id, item_id, item_size, matched, containment) of every document and item that it contains."""
     sketches = item_sketches(items, item_col, item_text_col, threshold, n)
-    small = sketches.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    at_hand = (lambda d: F.broadcast(d)) if small else (lambda d: d)
-    hashed = docs.select(F.col(doc_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("w")).select("doc_id", F.explode(shingles(F.col("w"), n)).alias("shingle"))
-    # repeated shingles of a document go before they are counted; what doesn't meet any item has gone already
-    met = hashed.join(at_hand(sketches), "shingle").select("doc_id", "item_id", "item_size", "shingle", "in_sketch").distinct()
-    counted = met.groupBy("doc_id", "item_id", "item_size").agg(F.count("*").alias("matched"), F.max("in_sketch").alias("candidate"))
+    texts = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
+    met = cut(candidates(texts, sketches, n))
+    some = _at_hand(met.select(F.col("doc_id").alias("met_id")).distinct())
+    again = texts.join(some, F.col("doc_id").eqNullSafe(F.col("met_id")), "left_semi")
+    hashed = exploded(again, n)
+    # shingles that no item has go before repeated ones of a document do
+    found = hashed.join(_at_hand(sketches.select("shingle", "item_key", "item_id", "item_size")), "shingle")
+    pairs = met.select(F.col("doc_id").alias("met_id"), F.col("item_key").alias("met_key"))
+    verified = found.join(_at_hand(pairs), F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("item_key") == F.col("met_key")), "left_semi").distinct()
+    counted = verified.groupBy("doc_id", "item_key", "item_id", "item_size").agg(F.count("*").alias("matched"))
     exact = F.ceil(F.col("item_size") * threshold - 1e-9)
-    return counted.filter(F.col("candidate") & (F.col("matched") >= exact)).select("doc_id", "item_id", F.col("item_size").cast("bigint").alias("item_size"), "matched", (F.col("matched") / F.col("item_size")).alias("containment"))
+    return counted.filter(F.col("matched") >= exact).select("doc_id", "item_id", F.col("item_size").cast("bigint").alias("item_size"), "matched", (F.col("matched") / F.col("item_size")).alias("containment"))

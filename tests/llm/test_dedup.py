@@ -185,3 +185,28 @@ def test_sketches_miss_nothing(spark):
         mine = [r for r in rows if r["item_id"] == k]
         n = len(mine)
         assert sum(r["in_sketch"] for r in mine) == n - -(-4 * n // 5) + 1
+
+
+def test_only_sketch_shingles_make_candidates(spark):
+    """A document with a shingle that is in no sketch is no candidate; one with a sketch's shingle is."""
+    items = spark.createDataFrame([(1, prose(11, 30))], "item_id bigint, text string")
+    rows = D.item_sketches(items).collect()
+    words = prose(11, 30).split()
+    texts = [" ".join(words[k : k + 5]) for k in range(26)]
+    of = {r["shingle"]: r["in_sketch"] for r in rows}
+    docs = documents(spark, texts)
+    held = {r["doc_id"]: of[r["s"][0]] for r in docs.select("doc_id", D.shingles(D.word_hashes(docs["text"])).alias("s")).collect()}
+    got = {r["doc_id"] for r in D.candidates(docs.select("doc_id", "text"), D.item_sketches(items)).collect()}
+    assert got == {k for k, inside in held.items() if inside} and 0 < len(got) < len(texts)
+    assert D.contained_items(docs, items).count() == 0
+
+
+@pytest.mark.parametrize("item_id", [7, None])
+def test_texts_of_one_item_id_have_sketches_of_their_own(spark, item_id):
+    for seed in range(6):
+        texts = [prose(900 + seed, 24), prose(950 + seed, 60)]
+        items = spark.createDataFrame([(item_id, t) for t in texts], "item_id bigint, text string")
+        sketch = [(r["item_key"], r["item_size"]) for r in D.item_sketches(items).filter("in_sketch").collect()]
+        assert sorted(sketch.count(k) for k in set(sketch)) == sorted(n - -(-4 * n // 5) + 1 for n in (len(word_shingles(t, 5)) for t in texts))
+        got = D.contained_items(documents(spark, [f"before {t} after" for t in texts]), items).collect()
+        assert sorted((r["doc_id"], r["item_size"]) for r in got) == [(k, len(word_shingles(t, 5))) for k, t in enumerate(texts)]
