@@ -50,3 +50,12 @@ def test_stages_take_awkward_tables(spark, tmp_path):
         assert stage(spark, empty(spark), SF).count() == 0, name
     assert P.STAGES[0][1](spark, extra, SF).count() <= extra.count()
     assert near_dedup.BANDS * near_dedup.BAND_ROWS == 128
+
+
+def test_decontamination_takes_rows_without_an_id(spark):
+    from helpers import documents
+
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    docs = documents(spark, ["clean words of no item at all", leak], extra=[(None, f"before {leak} after"), (None, "clean and without an id"), (None, None)])
+    left = {(r["doc_id"], r["text"]) for r in P.decontaminate(spark, docs, SF).collect()}
+    assert left == {(0, "clean words of no item at all"), (None, "clean and without an id"), (None, None)}
