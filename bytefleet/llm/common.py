@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -81,10 +82,16 @@ def hashed_share(column, part: int, whole: int):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what spark.checkpoint.dir names. Only where it is unset (as in tests), one is made."""
+    """The folder that driver and executors share: what spark.checkpoint.dir names.
+
+    Where it is unset and driver and executors are one process (as in tests), one is made; on a cluster that is an error, as
+    no folder of the driver's machine would do.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     global _OWN
     if _OWN is None:
         import tempfile
