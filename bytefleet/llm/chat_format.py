@@ -4,7 +4,8 @@ A message is a list of parts (text, image, audio, document). A visitor flattens
 part becomes an ordered placeholder `<|kind:n|>`, n counting a conversation's attachments from 0, and an
 attachment reference with the token count into which the placeholder expands. Turns are wrapped in
 `<|im_start|>role\\n ... <|im_end|>\\n`. No text can forge a control string: `\\` is doubled and `<|` becomes
-`<\\|`, so `<|` stands only where the template put it, and both steps can be undone. The loss mask covers the texts of
+`<\\|`, so `<|` stands only where the template put it, and both steps can be undone. Neighbouring text parts are joined
+before they are escaped, so that no control string comes about between them. The loss mask covers the texts of
 the chosen roles, as spans over the formatted text.
 
 A window over each conversation gives ordinals and offsets, and the grouping that follows uses the same
@@ -42,6 +43,21 @@ def _is_text(part: Column) -> Column:
     return F.coalesce(part["kind"], F.lit("text")) == "text"
 
 
+def flattened(parts: Column, seen: Column) -> Column:
+    """The visitor: texts gather until another kind of part (or the end) closes them; then they are escaped as one."""
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"), seen.cast("bigint").alias("n"))
+
+    def visit(state: Column, p: Column) -> Column:
+        mark = F.concat(F.lit("<|"), F.replace(escape(p["kind"]), F.lit("|>"), F.lit("|\\>")), F.lit(":"), state["n"].cast("string"), F.lit("|>"))
+        text = F.struct(state["done"].alias("done"), F.concat(state["open"], F.coalesce(p["text"], F.lit(""))).alias("open"), state["n"].alias("n"))
+        other = F.struct(F.concat(state["done"], escape(state["open"]), mark).alias("done"), F.lit("").alias("open"), (state["n"] + 1).alias("n"))
+        return F.when(_is_text(p), text).otherwise(other)
+
+    several = F.aggregate(parts, start, visit, lambda s: F.concat(s["done"], escape(s["open"])))
+    one = F.get(parts, F.lit(0))
+    return F.when(F.size(parts) == 0, F.lit("")).when((F.size(parts) == 1) & _is_text(one), escape(F.coalesce(one["text"], F.lit("")))).otherwise(several)
+
+
 def format_chat(messages: DataFrame, parts: Column, conv: Column, turn: Column, role: Column, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row for each conversation: conv_id, n_turns, formatted, loss_spans (start, length; code points from 0) and
     attachments (ordinal, kind, ref, tokens), with expanded_tokens, their sum."""
@@ -52,14 +68,8 @@ def format_chat(messages: DataFrame, parts: Column, conv: Column, turn: Column,
     rows = rows.withColumn("place", F.row_number().over(order)).withColumn("others", others).withColumn("seen", F.coalesce(F.sum(F.size("others")).over(before), F.lit(0)))
     # the ordinal of a part is the conversation's count so far plus the attachments before it in its own message
     rows = rows.withColumn("refs", F.transform("others", lambda p, k: F.struct((F.col("seen") + k).alias("ordinal"), p["kind"].alias("kind"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.lit(0)).alias("tokens"))))
-    shown = F.transform(
-        "parts",
-        lambda p, k: F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(
-            F.concat(F.lit("<|"), F.replace(escape(p["kind"]), F.lit("|>"), F.lit("|\\>")), F.lit(":"), (F.col("seen") + F.size(F.filter(F.slice("parts", 1, k), lambda q: ~_is_text(q)))).cast("string"), F.lit("|>"))
-        ),
-    )
     head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(BREAK)), F.lit("\n"))
-    rows = rows.withColumn("head", head).withColumn("body", F.array_join(shown, ""))
+    rows = rows.withColumn("head", head).withColumn("body", flattened(F.col("parts"), F.col("seen")))
     rows = rows.withColumn("piece", F.concat("head", "body", F.lit(END)))
     rows = rows.withColumn("at", F.coalesce(F.sum(F.char_length("piece").cast("bigint")).over(before), F.lit(0)))
     span = F.when(F.col("role").isin(*loss_roles), F.struct((F.col("at") + F.char_length("head")).alias("start"), F.char_length("body").cast("bigint").alias("length")))
