@@ -66,6 +66,27 @@ def test_counts_equal_the_library(spark):
     assert token_counts.token_counts(empty(spark), WORD).count() == 0
 
 
+def test_work_stays_in_proportion_without_white_space():
+    """No place is stable in a long word; what is encoded is bounded by a multiple of the text all the same."""
+    library = load(WORD)
+    for text in ("x" * 40_000, "漢字" * 20_000, "漢字、" * 15_000, "a1" * 20_000, "w" * 9_000 + " " + "v" * 30_000):
+        r = token_counts.Resync(WORD, 500, 50)
+        assert r.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+        assert r.encoded < 4 * len(text), (text[:5], r.encoded / len(text))
+
+
+def test_stable_places_are_token_starts():
+    """Cutting at any stable place changes nothing: fuzzed over characters that could interact."""
+    library, draw = load(WORD), random.Random(8)
+    alphabet = "aZ9 '<|>.,;:!?、。，！？；：sStdllve\n\t\xa0\u3000\x85é́Ａ²ß漢한ㄱ\u0301İΣ😀-_"
+    for k in range(3000):
+        t = "".join(draw.choices(alphabet, k=draw.randint(2, 14))) + draw.choice(["", "<|endoftext|>", "'s.", "'ll9"])
+        whole = library.encode(t, add_special_tokens=False).ids
+        for m in token_counts._STABLE.finditer(t):
+            if 0 < (at := m.start()) < len(t):
+                assert library.encode(t[:at], add_special_tokens=False).ids + library.encode(t[at:], add_special_tokens=False).ids == whole, (t, at)
+
+
 def test_overlaps_widen_where_nothing_is_stable():
     r = token_counts.Resync(WORD, 100, 10)
     text = "word " * 50 + "x" * 900 + " word" * 50
