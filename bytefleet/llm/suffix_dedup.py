@@ -13,10 +13,13 @@ suffix, a digit isn't a byte but a string of bytes that all equal windows share,
   block. It refines single runs in groups of several; blocks with a core met once drop out, blocks met twice are settled whole.
 * Digit 4, the window: all DEPTH bytes, for what is left.
 
-Digits are 64-bit hashes; groups are by the first digit and the present one together, so 128 bits tell windows apart.
-Every pass is a count by key, combined before the shuffle, and a join back that adaptive execution may split: no group of
-equal or similar passages is ever gathered in one task. Texts are shuffled once to cut out the runs to be
-refined and once more, for documents with repeats alone, to remove them; passes are cut by checkpoints.
+This is refinement by hashed digits rather than an ordered sort: groups are what they would be after sorting by each digit, but
+have no order among themselves, which nothing here needs. Digits are 64-bit hashes; groups are by the first digit and the
+present one together. Windows with different anchors differ in both, those that share an anchor in one alone, and no bytes
+are compared afterwards. Every pass is a count by key, combined before the shuffle, and a join back that adaptive execution
+may split: no group of equal or similar passages is ever gathered in one task. A text is known by 128 bits of its own hash and not by its
+row's id: copies of a text, with whatever ids or none, are cut up and listed as one, and each copy's row gets the result. Texts
+are shuffled once to cut out the runs to be refined; passes are cut by checkpoints.
 
 Defined cases: null and empty texts, and texts under DEPTH bytes, lose nothing; copies of a document, and repeated rows, lose all
 that lies in full windows, so all; texts of equal bytes repeat themselves; rows without an id are judged like others.
@@ -40,7 +43,6 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Windows that are looked at together; a run ends where a stretch does, which the later digits make good.
 _STRETCH_BITS = 21
-_NO_ID = -(1 << 63)
 #: Bytes that a worker hashes at a time.
 SLICE = 1 << 20
 
@@ -146,8 +148,15 @@ def _join_parts(parts: list[tuple[np.ndarray, ...]], width: int) -> list[np.ndar
     return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * width
 
 
-def _identity(text: str | None) -> int:
-    return np.int64(np.uint64(xxhash.xxh3_64_intdigest((text or "").encode())).view(np.int64)).item()
+def _identity(text: str | None) -> tuple[int, int]:
+    """128 bits that tell a text from all others, as two signed numbers."""
+    high, low = np.frombuffer(xxhash.xxh3_128_digest((text or "").encode()), ">i8").tolist()
+    return high, low
+
+
+def _identities(texts: list[str | None]) -> tuple[list[int], list[int]]:
+    found = [_identity(t) for t in texts]
+    return [h for h, _ in found], [t for _, t in found]
 
 
 def _place(start: np.ndarray, offset: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -159,15 +168,11 @@ def _unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF
 
 
-def _no_null(ids: pa.Array) -> pa.Array:
-    return ids.cast(pa.int64()).fill_null(_NO_ID)
-
-
 def _pass(rows: DataFrame, group: list[str], digit: str) -> DataFrame:
     """One pass: the rows that are left, refined from `group` by `digit`, with their standing.
 
     settled: the same digit is met twice. open: to be refined further, because the group has several digits and one of them is met
-    once; of equal rows, those of one document (the smallest rid) take part. alone: the digit is met once.
+    once; of equal rows, those of one text (the smallest rid) take part. alone: the digit is met once.
     Rows that are neither drop out.
     """
     groups = cut(rows.groupBy(*group, digit).agg(F.count("*").alias("n"), F.min("rid").alias("first")))
@@ -182,10 +187,9 @@ def _by_runs(texts: DataFrame, depth: int, gram: int) -> DataFrame:
 
     def cut_runs(part):
         found = []
-        for rid, text in zip(_no_null(part.column(0)).to_pylist(), part.column(1).to_pylist(), strict=True):
-            th = None
+        for text in part.column(1).to_pylist():
+            rid, th = _identity(text)
             for d1, d2, start, count, anchor in runs(np.frombuffer((text or "").encode(), np.uint8), depth, gram):
-                th = _identity(text) if th is None else th
                 found.append((d1, d2, np.full(len(d1), rid), np.full(len(d1), th), _place(start, anchor - start, count)))
         return _join_parts(found, 5)
 
@@ -193,9 +197,10 @@ def _by_runs(texts: DataFrame, depth: int, gram: int) -> DataFrame:
     anchors = cut(rows.groupBy("d1").agg(F.count("*").alias("n")).filter("n > 1").select("d1"))
     marked = _pass(cut(rows.join(anchors, "d1", "left_semi")), ["d1"], "d2")
     to_refine = F.when(F.col("open"), F.struct("d1", F.col("once").alias("alone"), "place"))
-    listed = marked.groupBy("rid", "th").agg(F.collect_list(F.when(F.col("settled"), F.col("place"))).alias("settled"), F.collect_list(to_refine).alias("open"))
-    identified = _arrow(texts, "rid bigint, th bigint, text string", lambda part: (_no_null(part.column(0)), [_identity(t) for t in part.column(1).to_pylist()], part.column(1)), 1)
-    return cut(identified.join(listed, ["rid", "th"]).dropDuplicates(["rid", "th"]))
+    # sets, so that the many copies of a text add nothing to its one list, before the shuffle as after it
+    listed = marked.groupBy("rid", "th").agg(F.collect_set(F.when(F.col("settled"), F.col("place"))).alias("settled"), F.collect_set(to_refine).alias("open"))
+    identified = _arrow(texts, "rid bigint, th bigint, text string", lambda part: (*_identities(part.column(1).to_pylist()), part.column(1)), 1)
+    return cut(identified.groupBy("rid", "th").agg(F.first("text").alias("text")).join(listed, ["rid", "th"]))
 
 
 def _pieces(work: DataFrame, depth: int) -> DataFrame:
@@ -270,14 +275,14 @@ def _by_windows(packed: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(base, found): base has (id, rid, th, n_bytes, sha256) for each row; found has (rid, th, text, settled, more), once for each text with
-    repeats: places of settled runs, and of further blocks and windows. rid and th identify a row by id and text."""
+    repeats: places of settled runs, and of further blocks and windows. rid and th are the two halves of a text's hash."""
     if not 0 < gram <= depth or depth >= 1 << 16:
         raise ValueError("the anchor lies inside the window, the window under 65,536 bytes")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def describe(part):
         data = [(t or "").encode() for t in part.column(1).to_pylist()]
-        return part.column(0), _no_null(part.column(0)), [_identity(t.decode()) for t in data], [len(t) for t in data], [hashlib.sha256(t).hexdigest() for t in data]
+        return part.column(0), *_identities([t.decode() for t in data]), [len(t) for t in data], [hashlib.sha256(t).hexdigest() for t in data]
 
     work = _by_runs(texts.filter(F.octet_length("text") >= depth), depth, gram)
     settled, packed = _by_blocks(_pieces(work, depth), depth)
