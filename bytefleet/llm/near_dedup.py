@@ -2,14 +2,18 @@
 
 1. One pass makes each document's set of distinct `WORDS`-word shingles, a 128-bit key of the set, and its signature. Two
    permutations make all signature coordinates: sigma places a shingle on a circle of CIRCLE points, and pi,
-   shifted round by k, gives coordinate k as the least pi(sigma(x) + k). Equal sets become one node.
-2. The coordinates are banded (BANDS of BAND_ROWS). At Jaccard 0.8 two sets share no band with probability 5e-8.
+   shifted round by k, gives coordinate k as the least pi(sigma(x) + k). Equal sets become one node. Sets of more than LARGE
+   shingles would fill that circle; theirs has 2^48 points, and pi is computed rather than kept. Sets of a size that may be
+   linked with either side of LARGE have both signatures.
+2. The coordinates are banded (BANDS of BAND_ROWS). Were they independent, two sets at Jaccard 0.8 would share no band with
+   probability 5e-8; they nearly are (the README has the recall as measured).
 3. In each bucket all nodes are compared with one hub, the node with the most company in all its buckets, on their full sets. That joins groups of
    copies in linear work. It is not the whole job: two nodes that both fail against their hub may still be linked.
 4. So buckets that still hold more than one component are finished exactly: shingles of their nodes are
    ordered by frequency, rarest first, and sets with Jaccard >= T must share one of their first (prefix filter, with length
-   and position bounds). Pairs of different components that do are compared on their full sets.
-   Sets whose rarest fifth is their own make no pair at all, so nothing is squared with a group's size but true contenders.
+   and position bounds). Pairs of different components that do are compared on their full sets. What a set could still share
+   bounds the size of its partners, so the longer set of a pair looks for the shorter among sizes that this bound allows: pages
+   of one template that can't reach the threshold never meet, however many they are. Nor do sets of a shingle's largest component.
 5. Components come from the links by minimum labels with pointer jumping, all as DataFrames with checkpoints.
 
 Defined cases: texts without words (null, empty) have an empty set and are linked with nothing; fewer words
@@ -19,6 +23,7 @@ same set); rows without an id are returned with a null component, kept; an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +35,9 @@ from pyspark.sql import functions as F
 from bytefleet.llm.common import cut, pa_schema, slices, worker_state
 
 WORDS, PERCENT = 4, 80
-BANDS, BAND_ROWS, CIRCLE = 32, 4, 1 << 20
+BANDS, BAND_ROWS, CIRCLE, LARGE = 32, 4, 1 << 20, 1 << 16
+#: Size classes of contenders grow by this factor.
+SIZE_STEP = 1.04
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -75,9 +82,30 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(coordinates: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket key for each band; the band's number is part of the key."""
-    out = np.arange(BANDS, dtype=_U) + _U(1)
+def large_signature(shingles: np.ndarray) -> np.ndarray:
+    """The same for large sets, on a circle of 2^48 points: pi is a bijective mix of the place, computed for each shift."""
+    ring, low = _U((1 << 48) - 1), np.full(BANDS * BAND_ROWS, (1 << 64) - 1, _U)
+    at = _mix(shingles ^ _U(0xA0761D6478BD642F)) >> _U(16)
+    for begin in range(0, len(at), 1 << 16):
+        part = at[begin : begin + (1 << 16)]
+        for k in range(len(low)):
+            low[k] = min(low[k], _mix(((part + _U(k)) & ring) ^ _U(0x8EBC6AF09C88C6E3)).min())
+    return low
+
+
+def bucket_keys(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The bucket keys of a non-empty set: of either circle, or of both where its size may be linked with sets on either side."""
+    n, out = len(shingles), []
+    if percent * n <= 100 * LARGE:
+        out.append(band_keys(signature(shingles)))
+    if 100 * n > percent * LARGE:
+        out.append(band_keys(large_signature(shingles), BANDS))
+    return np.concatenate(out)
+
+
+def band_keys(coordinates: np.ndarray, first: int = 0) -> np.ndarray:
+    """One 64-bit bucket key for each band; the band's number, counted from `first`, is part of the key."""
+    out = np.arange(first, first + BANDS, dtype=_U) + _U(1)
     for column in coordinates.reshape(BANDS, BAND_ROWS).T:
         out = _mix(out * _U(0x9E3779B97F4A7C15) + column.astype(_U))
     return out.view(np.int64)
@@ -110,8 +138,7 @@ def _map(docs: DataFrame, schema: str, row: Callable[[np.ndarray], tuple], lists
 
 
 def _signed(shingles: np.ndarray) -> tuple:
-    bands = band_keys(signature(shingles)) if len(shingles) else np.empty(0, np.int64)
-    return len(shingles), _key(shingles), bands
+    return len(shingles), _key(shingles), bucket_keys(shingles) if len(shingles) else np.empty(0, np.int64)
 
 
 def _sets(shingles: np.ndarray) -> tuple:
@@ -152,15 +179,49 @@ def contenders(sets: DataFrame, labels: DataFrame, percent: int = PERCENT) -> Da
     share one of its first c - ceil(percent n) + 1, and at the first shingle that two sets share, no more than it
     and what follows in both can be common. sets: (node, s); labels: (node, label) for all of them.
     """
+    met = meetings(fronts(sets, labels, percent), percent).filter("possible")
+    return met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
+
+
+def fronts(sets: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, n, rest, most, g, label, minor): the first shingles of each set that more than one label has.
+
+    rest: the shingle and those behind it; most: the size of the largest partner that these could be enough for;
+    minor: the label isn't the one with the most sets at this shingle.
+    """
     rows = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("g"))
     counted = cut(rows.groupBy("g").agg(F.count("*").alias("times")).filter("times > 1"))
     ordered = rows.join(counted, "g").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("times", "g"))).alias("o"))
     sized = ordered.withColumn("c", F.size("o")).withColumn("first", F.expr(f"c - int(({percent} * n + 99) div 100) + 1")).filter("first > 0")
     front = sized.select("node", "n", "c", F.posexplode(F.slice("o", 1, F.col("first"))).alias("pos", "x")).select("node", "n", (F.col("c") - F.col("pos")).alias("rest"), F.col("x.g").alias("g"))
-    front = cut(front.join(labels, "node"))  # rest counts the shingle itself
-    a, b = (front.select("g", *(F.col(c).alias(c + side) for c in ("node", "n", "rest", "label"))) for side in "ab")
-    can = _linked(F.least("resta", "restb"), F.col("na"), F.col("nb"), percent) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return a.join(b, "g").filter((F.col("nodea") < F.col("nodeb")) & (F.col("labela") != F.col("labelb")) & can).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    # 100 rest >= percent (n + m - rest), solved for the partner's size m
+    most = F.expr(f"int(((100 + {percent}) * rest - {percent} * n) div {percent})")
+    front = front.join(labels, "node").withColumn("most", most).filter(F.col("most") * 100 >= percent * F.col("n"))
+    front = cut(front)
+    by_label = front.groupBy("g", "label").agg(F.count("*").alias("of"), F.min("n").alias("low"))
+    heads = by_label.groupBy("g").agg(F.count("*").alias("labels"), F.max_by("label", "of").alias("major"), F.min("low").alias("low")).filter("labels > 1")
+    return front.join(heads, "g").filter("most >= low").withColumn("minor", F.col("label") != F.col("major")).select("node", "n", "rest", "most", "g", "label", "minor")
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
+
+
+def meetings(front: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs of sets that meet at a shingle and a size class, with `possible` for those that pass all bounds.
+
+    The longer set `a` looks among the sizes that it could be linked with, which its own size and `most` bound.
+    Pairs inside a shingle's largest label don't meet: one of the two is always minor.
+    """
+    low, high = F.ceil(F.col("n") * percent / 100).cast("int"), F.least("n", "most")
+    longer = front.filter(low <= high).withColumn("size", F.explode(F.sequence(_size_class(low), _size_class(high))))
+    shorter = front.withColumn("size", _size_class(F.col("n")))
+    a, b = (side.select("g", "size", "minor", *(F.col(c).alias(c + name) for c in ("node", "n", "rest", "most", "label"))).withColumnRenamed("minor", "minor" + name) for side, name in ((longer, "a"), (shorter, "b")))
+    ordered = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("nodeb") < F.col("nodea")))
+    fits = (F.col("nb") <= F.col("mosta")) & (F.col("na") <= F.col("mostb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    can = _linked(F.least("resta", "restb"), F.col("na"), F.col("nb"), percent)
+    met = a.filter("minora").join(b, ["g", "size"]).unionByName(a.filter("not minora").join(b.filter("minorb"), ["g", "size"]))
+    return met.withColumn("possible", ordered & fits & can & (F.col("labela") != F.col("labelb")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

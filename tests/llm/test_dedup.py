@@ -76,6 +76,48 @@ def test_contenders_miss_no_link(spark, copies):
     assert links <= pairs and len(pairs) < len(full) ** 2 / 3
 
 
+def _sets(spark, sets):
+    return spark.createDataFrame([(k, [int(x) - (1 << 64) if int(x) >> 63 else int(x) for x in s]) for k, s in sets.items()], "node bigint, s array<bigint>")
+
+
+@pytest.mark.parametrize("pages", [40, 160])
+def test_pages_of_a_template_do_not_meet(spark, pages):
+    """170 of 200 shingles are common to all pages: Jaccard 0.74 at most. A few short pages that are mostly template don't change that."""
+    rng = random.Random(3)
+    draw = lambda n: {rng.getrandbits(64) for _ in range(n)}
+    template = draw(170)
+    sets = {k: template | draw(30) for k in range(pages)} | {1000 + k: set(list(template)[:100]) | draw(20) for k in range(3)}
+    df = _sets(spark, sets)
+    met = N.meetings(N.fronts(df, df.selectExpr("node", "node as label")))
+    assert met.filter("nodea < 1000 and nodeb < 1000").count() == 0
+    assert N.contenders(df, df.selectExpr("node", "node as label")).count() <= 3
+
+
+def test_sets_of_the_largest_label_do_not_meet(spark):
+    """Copies that are one component already, and one set beside them: work in proportion to the copies."""
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(100)]
+    sets = {k: set(base[:99]) | {rng.getrandbits(64)} for k in range(60)} | {99: set(base[:95]) | {rng.getrandbits(64) for _ in range(3)}}
+    df = _sets(spark, sets)
+    met = N.meetings(N.fronts(df, df.selectExpr("node", "case when node < 60 then 0 else node end as label")))
+    assert met.filter("nodea < 60 and nodeb < 60").count() == 0
+    assert N.contenders(df, df.selectExpr("node", "case when node < 60 then 0 else node end as label")).count() == 60
+
+
+def test_very_large_sets_keep_their_resemblance(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(N, "LARGE", 1000)
+    draw = np.random.default_rng(5)
+    pool = draw.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    a, b = np.unique(pool[:1500]), np.unique(pool[150:1650])
+    truth = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert abs((N.large_signature(a) == N.large_signature(b)).mean() - truth) < 0.1
+    assert len(N.bucket_keys(a)) == N.BANDS == len(N.bucket_keys(np.unique(pool[:500]))) and len(N.bucket_keys(np.unique(pool[:1100]))) == 2 * N.BANDS
+    small, large = np.unique(pool[:900]), np.unique(pool[:1100])  # on either side of the bound, yet they share buckets
+    assert np.intersect1d(N.bucket_keys(small), N.bucket_keys(large)).size
+
+
 def test_repeated_rows_nulls_and_emptiness(spark):
     docs = documents(spark, ["one two three four five", "other words in here now"], extra=[(0, "one two three four five"), (None, "one two three four five"), (7, None), (8, "")])
     rows = by_id(N.near_duplicates(docs))
@@ -126,6 +168,18 @@ def test_removal_equals_brute_force(spark):
         assert tuple(rows[k][0])[1:] == want, (k, texts[k])
 
 
+def test_many_copies_are_listed_as_one(spark, monkeypatch):
+    """Equal texts under a thousand ids, or under none, make one text to cut up, with one list of its own places."""
+    text, rows = prose(77, 90), 1000
+    docs = documents(spark, [text] * rows + [prose(78, 90)], extra=[(None, text)] * rows)
+    base, found = S.repeated_passages(docs)
+    work = found.collect()
+    assert len(work) == 1 and len(work[0]["settled"]) <= len(text) and base.count() == 2 * rows + 1
+    out = S.remove_repeats(docs).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    n = len(text.encode())
+    assert {(r["n_bytes"], r["n_removed"], r["n_spans"], r["count"]) for r in out} == {(n, n, 1, 2 * rows), (len(prose(78, 90).encode()), 0, 0, 1)}
+
+
 @pytest.mark.parametrize(("depth", "gram"), [(24, 8), (40, 40), (5, 1)])
 def test_removal_at_other_depths(spark, depth, gram):
     texts = [t for t in passages() if len(t or "") < 1500]
