@@ -72,13 +72,18 @@ def pa_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def hash_bound(part: int, whole: int) -> int:
+    """The 64-bit hashes up to this bound are part / whole of all, or all of them where part reaches whole."""
+    return min((1 << 63) - 1, ((1 << 64) - 1) * part // whole - (1 << 63))
+
+
 def hashed_share(column, part: int, whole: int):
     """True on about part / whole of the ids, by hash alone; on all where part reaches whole. A bounded sample for a model's fit."""
     from pyspark.sql import functions as F
 
     if part >= whole:
         return F.lit(True)
-    return F.xxhash64(column) <= F.lit(((1 << 64) - 1) * part // whole - (1 << 63))
+    return F.xxhash64(column) <= F.lit(hash_bound(part, whole))
 
 
 def shared_folder(spark: SparkSession) -> str:
