@@ -1,9 +1,11 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: a fixed list of insults, words and word beginnings (met once, twice or three times) mined
-from labelled rows, and patterns. A generative label model estimates each voter's rates under either class and the correlations between
-voters (which share their weight), by expectation-maximisation over the votes, anchored in the labels; a linear classifier is then
-trained on its posterior labels. Scores need the text alone.
+Many voters look at a text: a fixed list of insults, a lexicon of words and word beginnings (met once, twice or three times) mined
+from labelled rows, and patterns. A generative label model explains their votes by a hidden class of each row: voters that move
+together within the classes form cliques, and the number of votes in a clique has a rate under either class. Rates,
+correlations and classes are estimated from the votes alone by expectation-maximisation; labels come in twice, before (what
+words are worth a voter) and after (which of the two classes is called toxic). A linear classifier is trained on the posterior labels.
+Scores need the text alone.
 
 Bounds: voters are mined and the models fitted on about TRAIN_ROWS labelled rows of each class (those with the
 smallest hash of their id), at most VOTERS mined voters. All rows are scored, whole.
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 
 from bytefleet.llm.common import hashed_share, map_text, worker_state
 
-TRAIN_ROWS, VOTERS, LEAST_DOCS, LEAST_LIFT, THRESHOLD, CORRELATED = 3000, 400, 3, 8.0, 0.7, 0.45
+TRAIN_ROWS, VOTERS, LEAST_DOCS, LEAST_LIFT, THRESHOLD, CORRELATED = 3000, 400, 3, 8.0, 0.7, 0.3
+#: Votes in a clique that are told apart; pseudo-counts of rates; rounds of expectation-maximisation, the first of them without cliques.
+MOST_VOTES, PRIOR_COUNT, ROUNDS, ROUNDS_ALONE = 6, 0.5, 5, 1
 #: The hash picks about 2 x TRAIN_ROWS rows; where many labels share an id, the sample still ends here.
 SAMPLE_BOUND = 4 * TRAIN_ROWS
 BEGINNINGS, TIMES = (4, 5, 6, 7, 8), (1, 2, 3)
@@ -99,30 +103,48 @@ class Voters:
         return sorted(found)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of toxic for each row, share of its weight that each voter keeps), from votes [row, voter] in {0, 1}.
+def states(votes: np.ndarray, cliques: list[list[int]]) -> np.ndarray:
+    """[row, clique]: how many of a clique's voters vote, up to MOST_VOTES."""
+    return np.stack([np.minimum(votes[:, c].sum(1), MOST_VOTES) for c in cliques], 1).astype(int)
 
-    `start` holds what is known of the rows beforehand; it anchors the classes (their rates come from it and from
-    the posteriors in equal parts), so that they can't drift apart from what the voters were mined for. A voter that doesn't fire abstains; a row on which none fires
-    has the vote of the voter "none fired". Correlations are those left within classes; a voter that moves
-    together with others counts 1 / (1 + sum of squared correlations), those under CORRELATED being taken for chance.
+
+def expectation(state: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """One round: rates of each clique's states under both classes from `post`, and the posteriors that these rates give."""
+    prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
+    odds = np.full(len(state), np.log(prior / (1 - prior)))
+    for column in state.T:
+        one, two = (np.bincount(column, w, int(column.max()) + 1) + PRIOR_COUNT for w in (post, 1 - post))
+        odds += (np.log(one / one.sum()) - np.log(two / two.sum()))[column]
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+def correlated(votes: np.ndarray, post: np.ndarray) -> list[list[int]]:
+    """Cliques of voters: the connected sets of those whose votes correlate by CORRELATED or more within the classes."""
+    v = votes.astype(float)
+    rate1, rate0 = (post @ v) / max(post.sum(), 1e-9), ((1 - post) @ v) / max((1 - post).sum(), 1e-9)
+    left = v - (post[:, None] * rate1 + (1 - post)[:, None] * rate0)
+    scale = left.std(0) + 1e-6
+    near = np.abs((left.T @ left) / max(len(v), 1) / np.outer(scale, scale)) >= CORRELATED
+    lead = np.arange(len(near))
+    for k in range(len(near)):
+        mine = np.flatnonzero(near[k, : k + 1] | (np.arange(k + 1) == k))
+        lead[np.isin(lead, lead[mine])] = lead[mine].min()
+    return [np.flatnonzero(lead == k).tolist() for k in np.unique(lead)]
+
+
+def label_model(votes: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """(posterior of the class with more votes for each row, cliques), from votes [row, voter] in {0, 1} alone.
+
+    It starts from how many voters vote on a row against the average row, then the rows' classes and the cliques' rates explain each other.
     """
-    silent = (votes.sum(1, keepdims=True) == 0).astype(float)
-    v = np.hstack([votes.astype(float), silent])
-    post, keep = start.astype(float).copy(), np.ones(v.shape[1])
-    for _ in range(rounds):
-        mix = (post + start) / 2
-        prior = np.clip(mix.mean(), 1e-3, 1 - 1e-3)
-        rate1 = (mix @ v + 0.1) / (mix.sum() + 1)
-        rate0 = ((1 - mix) @ v + 0.1) / ((1 - mix).sum() + 1)
-        left = v - (mix[:, None] * rate1 + (1 - mix)[:, None] * rate0)
-        scale = left.std(0) + 1e-6
-        corr = (left.T @ left) / len(v) / np.outer(scale, scale)
-        np.fill_diagonal(corr, 0)
-        keep = 1 / (1 + np.where(np.abs(corr) >= CORRELATED, corr**2, 0).sum(1))
-        odds = np.log(prior / (1 - prior)) + v @ (keep * np.log(np.clip(rate1, 1e-6, 1) / np.clip(rate0, 1e-6, 1)))
-        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return post, keep
+    count = votes.sum(1).astype(float)
+    post = np.clip(count**2 / (count**2 + max(count.mean(), 1e-9) ** 2), 0.05, 0.95)
+    cliques = [[k] for k in range(votes.shape[1])]
+    for k in range(ROUNDS):
+        if k >= ROUNDS_ALONE:
+            cliques = correlated(votes, post)
+        post = expectation(states(votes, cliques), post)
+    return post, cliques
 
 
 def linear_classifier(votes: np.ndarray, target: np.ndarray, steps: int = 400, ridge: float = 3e-4) -> tuple[np.ndarray, float]:
@@ -174,8 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         votes[k, list(fired)] = True
     if not len(rows):
         return None
-    start = 0.05 + 0.9 * np.array([y for y, _ in rows], float)
-    post, _ = label_model(votes, start)
+    post, _ = label_model(votes)
+    y = np.array([y for y, _ in rows], float)
+    if (post * y).sum() / max(post.sum(), 1e-9) < ((1 - post) * y).sum() / max((1 - post).sum(), 1e-9):
+        post = 1 - post  # the other class has more of the toxic rows
     weights, bias = linear_classifier(votes, post)
     return voters.names, weights, bias
 
