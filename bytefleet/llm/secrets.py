@@ -31,8 +31,8 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Tokens that the models judge: key-like characters, this long at least, with a digit and a letter among them.
-TOKEN_LEAST, RATIO_LEAST = 20, 0.6
+#: Tokens that the models judge: key-like characters, this long at least, with a letter among them.
+TOKEN_LEAST, RATIO_LEAST = 16, 0.6
 SAMPLE_STRINGS, SAMPLE_WORDS, SAMPLE_DOCS = 20_000, 20_000, 200
 #: Words that are met less often in the sample may be pieces of secrets.
 LEAST_TIMES = 3
@@ -42,7 +42,7 @@ _OF = {c: k for k, c in enumerate(_ALPHABET)}
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % TOKEN_LEAST)
 _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
 _KEY = re.compile(r"p(?:assword|asswd)|secret|token|api_?key", re.IGNORECASE | re.ASCII)
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+_LETTER = re.compile(r"[A-Za-z]")
 #: Fixed joins by which sample words become identifiers.
 JOINS = ("_", "-", "", "/", "=")
 
@@ -80,7 +80,7 @@ def random_samples(seed: int = 7, count: int = SAMPLE_STRINGS) -> list[str]:
 
 
 def identifier_samples(words: list[str], seed: int = 11, count: int = SAMPLE_STRINGS) -> list[str]:
-    """Labelled "ordinary": words joined as identifiers, paths, numbered names and dates are."""
+    """Labelled "ordinary": words joined as identifiers, paths, numbered names and dates are; one in six in capitals, as constants are."""
     draw = random.Random(seed)
     usable = [w for w in words if w.isascii() and w.isalpha()] or list(public_words())
     out = []
@@ -88,6 +88,7 @@ def identifier_samples(words: list[str], seed: int = 11, count: int = SAMPLE_STR
         join = draw.choice(JOINS)
         part = [draw.choice(usable) for _ in range(draw.randint(2, 6))]
         part = [w.capitalize() for w in part] if join == "" else part
+        part = [w.upper() for w in part] if draw.randrange(6) == 0 else part
         out.append(join.join(part) + draw.choice(["", "", str(draw.randint(0, 9999)), f"-{draw.randint(1990, 2030)}-{draw.randint(1, 12):02d}"]))
     return out
 
@@ -120,7 +121,7 @@ def markov_spans(text: str, base: list[tuple[int, int, str]], gain: np.ndarray)
         while k < len(base) and base[k][0] < m.end():
             reach = max(reach, base[k][1])
             k += 1
-        if reach <= m.start() and _DIGIT.search(t) and _LETTER.search(t) and ratio(t, gain) >= RATIO_LEAST:
+        if reach <= m.start() and _LETTER.search(t) and ratio(t, gain) >= RATIO_LEAST:
             out.append((m.start(), m.end(), "markov"))
     return out
 

@@ -95,13 +95,84 @@ def test_toxicity_on_held_out_documents(spark, toxic_rows):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
-def test_label_model_shares_weight_between_copies():
+def _likelihood(state, post):
+    """Mean log-likelihood of the votes under the rates that `post` gives, by plain sums (rates without pseudo-counts)."""
+    total = 0.0
+    for row in state:
+        both = []
+        for w in (post, 1 - post):
+            p = w.mean()
+            for k, x in enumerate(row):
+                p *= sum(v for v, r in zip(w, state, strict=True) if r[k] == x) / w.sum()
+            both.append(p)
+        total += np.log(sum(both))
+    return total
+
+
+def test_long_words_take_part_in_the_fit():
+    """Expected counts of long words in logarithms equal those of the plain recursion, and every length of piece is used."""
+    pieces = ["▁", "a", "b", "ab", "▁ab", "abababababababab"]
+    lattice = language_id.Lattice(pieces)
+    assert lattice.longest == 16
+    word, p = "▁" + "ab" * 24, np.array([0.1, 0.2, 0.2, 0.2, 0.1, 0.1, 0.0, 0.1])
+    expected = np.zeros(len(p))
+    language_id._add_expected(expected, lattice.long_arcs(word), len(word), 3, p)
+    arcs = lattice.arcs([word], len(word))
+    alpha = language_id.forward(arcs, p[:, None])[0, :, 0]
+    back = np.zeros(len(word) + 1)
+    back[len(word)] = 1
+    want = np.zeros(len(p))
+    for j in range(len(word), 0, -1):
+        for l in range(1, min(j, 16) + 1):
+            k = arcs[0, j - 1, l - 1]
+            back[j - l] += p[k] * back[j]
+            want[k] += 3 * alpha[j - l] * p[k] * back[j] / alpha[len(word)]
+    assert np.allclose(expected, want) and expected[5] > 0
+    _, table = language_id.fit([("x", "ab" * 300, 2), ("x", "ba", 1)], pieces)
+    assert np.isfinite(table).all() and abs(table.sum() - 1) < 1e-9 and table[5, 0] > table[1, 0]
+
+
+def test_any_number_of_languages(spark):
+    rows = [(k * 10 + j, f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + k % 7)} " * 6, f"l{k:03d}") for k in range(80) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(docs)
+    assert len(model[1]) == 80 and model[2].shape[1] == 80
+    hits = language_id.identify(docs, model).join(docs, "doc_id").filter("lang = lang_pred").count()
+    assert hits == len(rows)
+
+
+def test_label_model_round_equals_bayes_by_enumeration(monkeypatch):
+    """The posterior of each row is the prior times all cliques' rates, divided by the sum over both classes; likelihood never falls."""
+    monkeypatch.setattr(toxicity, "PRIOR_COUNT", 1e-12)
+    draw = np.random.default_rng(6)
+    y = draw.random(30) < 0.4
+    votes = draw.random((30, 5)) < np.where(y[:, None], 0.7, 0.2)
+    votes[:, 4] = votes[:, 3]
+    state = toxicity.states(votes, [[0], [1, 2], [3, 4]])
+    assert state.tolist() == [[int(v[0]), int(v[1]) + int(v[2]), 2 * int(v[3])] for v in votes]
+    post, last = np.clip(votes.mean(1), 0.1, 0.9), -np.inf
+    for _ in range(6):
+        want = []
+        for row in state:
+            one, two = post.mean(), 1 - post.mean()
+            for k, x in enumerate(row):
+                same = state[:, k] == x
+                one, two = one * post[same].sum() / post.sum(), two * (1 - post)[same].sum() / (1 - post).sum()
+            want.append(one / (one + two))
+        now = _likelihood(state, post)
+        assert now >= last - 1e-9
+        last, post = now, toxicity.expectation(state, post)
+        assert np.allclose(post, want)
+
+
+def test_label_model_needs_no_labels():
+    """Copies of one voter are one clique and don't outvote others; the classes come from the votes alone."""
     draw = np.random.default_rng(3)
-    y = draw.random(4000) < 0.3
-    one, two = np.where(y, draw.random(4000) < 0.7, draw.random(4000) < 0.05), np.where(y, draw.random(4000) < 0.6, draw.random(4000) < 0.1)
-    votes = np.stack([one, one, one, two], 1)
-    post, keep = toxicity.label_model(votes, 0.2 + 0.6 * y)
-    assert keep[0] < 0.5 < keep[3] and post[y].mean() > post[~y].mean() + 0.1
+    y = draw.random(800) < 0.3
+    good = draw.random((800, 12)) < np.where(y[:, None], 0.75, 0.05)
+    noisy = np.repeat(draw.random((800, 1)) < 0.3, 3, 1)
+    post, cliques = toxicity.label_model(np.hstack([good, noisy]))
+    assert [12, 13, 14] in cliques and ((post > 0.5) == y).mean() > 0.97
 
 
 def brute_spans(text):
@@ -130,6 +201,24 @@ def test_secret_spans(spark):
     assert secrets.scan(empty(spark)).count() == 0
 
 
+def test_planted_keys_are_found_and_identifiers_left(spark):
+    """Keys of six alphabets and identifiers of words that no model has seen, each planted in prose of its own."""
+    import string
+
+    draw = random.Random(21)
+    alphabets = {"mixed": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "url": string.ascii_letters + string.digits + "_-", "capitals": string.ascii_uppercase + string.digits, "small": string.ascii_lowercase + string.digits, "letters": string.ascii_letters}
+    unseen = "zuverlig mantobel quirante folasure wendrick osterval brimlade kastorin pelluvar drastomi".split()
+    planted = [(name, "".join(draw.choices(a, k=draw.randint(20, 48)))) for name, a in alphabets.items() for _ in range(60)]
+    planted += [("plain", i) for i in secrets.identifier_samples(unseen, seed=22, count=500) if len(i) >= secrets.TOKEN_LEAST]
+    docs = spark.createDataFrame([(k, f"we saw {draw.choice(unseen)} and then ({token}) was there, {draw.choice(unseen)}") for k, (_, token) in enumerate(planted)], "doc_id bigint, text string")
+    rows, caught = by_id(secrets.scan(docs)), {}
+    for k, (name, token) in enumerate(planted):
+        hit = any(x for x in rows[k][0]["spans"].split(",") if x and int(x.split(":")[2]) - int(x.split(":")[1]) >= len(token) * 0.9)
+        caught.setdefault(name, []).append(hit)
+    assert all(np.mean(caught[name]) >= 0.95 for name in alphabets), {n: np.mean(c) for n, c in caught.items()}
+    assert np.mean(caught["plain"]) <= 0.01
+
+
 def test_models_tell_random_strings_from_identifiers():
     gain = secrets.models()
     fresh = secrets.random_samples(seed=99, count=400)
