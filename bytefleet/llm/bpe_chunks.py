@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the bytes cuts each text where its content says so; equal passages of different documents
-thus give equal chunks, and a worker encodes each of them once. A cut may fall inside a token. So every join
+thus give equal chunks, and a worker encodes each of them once. A text without a cut is one chunk. A cut may fall inside a token. So every join
 is repaired: the last piece of the left chunk and the first of the right are encoded anew between guard pieces,
 and the join is taken only if both guards come out exactly as they stand in their chunks; else the guards widen,
 and in the end the whole text is encoded in one go. The result equals the library's for every text.
@@ -65,7 +65,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         self.tokenizer, self.pieces, self.chunks = load(path), PieceCache(path, packed), {}
-        self.reused = self.repaired = self.whole = 0
+        self.reused = self.reused_bytes = self.repaired = self.whole = 0
 
     def _direct(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -74,7 +74,7 @@ class ChunkEncoder:
         """(first pieces, ids of all but the first and last piece, last pieces), or None if the chunk has too few pieces."""
         known = self.chunks.get(data, 0)
         if known != 0:
-            self.reused += 1
+            self.reused, self.reused_bytes = self.reused + 1, self.reused_bytes + len(data)
             return known
         pieces = byte_level_pieces(data.decode())
         made = None
@@ -104,7 +104,8 @@ class ChunkEncoder:
         data = text.encode()
         cuts = cut_points(data) if len(data) >= 2 * WINDOW else []
         if not cuts:
-            return b"".join(self.pieces(byte_level_pieces(text)))
+            only = self._chunk(data)
+            return b"".join([only[0][0][1], only[1], only[2][0][1]]) if only else b"".join(self.pieces(byte_level_pieces(text)))
         out, left, open_text = [], [], ""
         for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True):
             chunk = self._chunk(data[a:b])
@@ -125,8 +126,6 @@ class ChunkEncoder:
         return b"".join([*out, ids])
 
 
-
-
 class TokenBytes:
     """Decoding by table: the bytes of each token joined, then read as UTF-8 with replacement, as the library does."""
 
