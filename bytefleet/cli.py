@@ -24,7 +24,7 @@ def files_in(spark: SparkSession, folder: str, with_data: bool = True, depth: in
     if exclude:
         found = found.filter(~listing.excluded(F.col("path"), *exclude))
     packed = F.rlike("path", F.lit(r"(^|/)[1-6]!!?[^/]+$"))
-    entries = containers.expand(found.filter(~packed)).unionByName(containers.unpacked_volumes(found.filter(packed)).withColumn("error", F.lit(None).cast("string")))
+    entries = containers.expand(found.filter(~packed)).unionByName(containers.unpacked_volumes(found.filter(packed)))
     rows = containers.parse(entries, with_data).withColumn("image", X.lineage(F.col("container"), F.when(F.col("entry") != X.base_name(F.col("container")), F.col("entry"))))
     return rows.withColumn("id", F.concat_ws("#", "image", "ord")).withColumn("path", F.when(F.col("file_path") == "", F.col("file_name")).otherwise(F.col("file_path")))
 
@@ -60,7 +60,7 @@ def run_compare(spark, a) -> DataFrame:
 
 def run_match(spark, a) -> DataFrame:
     one, two = (contents(files_in(spark, p, depth=a.depth, mask=a.mask, exclude=tuple(a.exclude or ()))).withColumn("name", F.col("file_name")) for p in (a.first, a.second))
-    return matching.classify(one, two, a.approximate)
+    return matching.classify(one, two, a.approximate, place="container")
 
 
 def run_duplicates(spark, a) -> DataFrame:
@@ -105,7 +105,8 @@ def run_lynx(spark, a) -> DataFrame:
 
 
 def run_change(spark, a) -> DataFrame:
-    entries = _entries(spark, a.folder)
+    found = containers.scan(spark, a.folder)
+    entries = containers.expand(found)
     if a.command == "insert":
         with open(a.file, "rb") as f:
             changed = rewrite.insert(entries, a.name, f.read(), a.type)
@@ -113,10 +114,15 @@ def run_change(spark, a) -> DataFrame:
         changed = rewrite.scratch(entries, a.name)
     else:
         changed = rewrite.repair_bitmap(entries)
-    rows = changed.select(F.col("entry").alias("file_path"), F.col("content").alias("data"), F.lit(0).alias("ord"), F.lit("IMG").alias("file_type"))
+    whole = rewrite.put_back(found, changed.filter("content is not null"))  # what can't be changed stays as it is
+    rows = whole.select(X.base_name(F.col("path")).alias("file_path"), F.col("content").alias("data"), F.lit(0).alias("ord"), F.lit("IMG").alias("file_type"))
     return rewrite.extracted(rows, a.target)
 
 
+def run_messages(spark, a) -> DataFrame:
+    return search.messages(files_in(spark, a.folder, with_data=False))
+
+
 def run_partitions(spark, a) -> DataFrame:
     return containers.partitions(spark, a.drive).select("number", "name", "type_name", X.long_hex(F.col("start")).alias("start"), "len")
 
@@ -169,6 +175,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--type", default="PRG")
     command("scratch", run_change, "folder", "target", "name")
     command("repair", run_change, "folder", "target")
+    command("messages", run_messages, "folder")
     p = command("partitions", run_partitions)
     p.add_argument("drive", nargs="+")
     p = command("convert", run_convert, "folder", "target")

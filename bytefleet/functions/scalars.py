@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,42 @@ SIZE_CAP = 83_361_792
 PLATFORMS = {"PET": "0104", "VIC": "0112", "C64": "0108", "CBM2": "0300", "C128": "011C", "C65": "0120"}
 
 
+# Bytes whose ASCII and PETSCII meanings differ, besides the letters.
+_TO_ASCII = {0x08: 0x14, 0x0A: 0x0D, 0x0B: 0x11, 0x0C: 0x93, 0x0D: 0x0A, 0x11: 0x0B, 0x14: 0x08, 0x93: 0x0C, 0xA0: 0x20, 0xC0: 0x60}
+_TO_PETSCII = {0x08: 0x14, 0x09: 0x20, 0x0B: 0x11, 0x0C: 0x93, 0x11: 0x0B, 0x14: 0x08, 0x60: 0xC0, 0x93: 0x0C}
+
+
+def ascii_of(byte: int) -> int:
+    """The ASCII meaning of a PETSCII byte: letters change their case, the upper copies of letters and signs come down."""
+    if byte in _TO_ASCII:
+        return _TO_ASCII[byte]
+    shift = 0x20 if 0x41 <= byte <= 0x5A else -0x20 if 0x61 <= byte <= 0x7A else -0x80 if 0xC1 <= byte <= 0xDA else -0x40 if byte >= 0xE0 else 0
+    return byte + shift
+
+
+def petscii_of(byte: int) -> int:
+    """The PETSCII byte for an ASCII one: capitals lie at the upper copies, small letters where ASCII has capitals."""
+    if byte in _TO_PETSCII:
+        return _TO_PETSCII[byte]
+    shift = 0x80 if 0x41 <= byte <= 0x5A else -0x20 if 0x61 <= byte <= 0x7A else 0x60 if 0x7B <= byte <= 0x7F else 0
+    return byte + shift
+
+
+def _recoded(text: Column, table: Callable[[int], int]) -> Column:
+    changed = [b for b in range(256) if table(b) != b]
+    return F.translate(text, "".join(map(chr, changed)), "".join(chr(table(b)) for b in changed))
+
+
+def petscii_to_ascii(data: Column) -> Column:
+    """A PETSCII payload as text of single-byte characters."""
+    return _recoded(F.decode(data, "ISO-8859-1"), ascii_of)
+
+
+def ascii_to_petscii(text: Column) -> Column:
+    """Text of single-byte characters as PETSCII bytes."""
+    return F.encode(_recoded(text, petscii_of), "ISO-8859-1")
+
+
 def unsigned(data: Column, position: Column | int = 1) -> Column:
     """The byte at a position (from 1) as 0..255; null outside the payload."""
     byte = F.substring(data, position, 1) if isinstance(position, int) else F.substr(data, position, F.lit(1))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytefleet.functions.scalars import percent
+from bytefleet.operators.ordinals import row_numbers
 
 
 def digests(files: DataFrame, path: str, data: str, directory: str) -> DataFrame:
@@ -56,5 +57,5 @@ def unknown(probe: DataFrame, known: DataFrame) -> DataFrame:
 
 def suffixed(rows: DataFrame, target: str, order: str) -> DataFrame:
     """target, or target with `_n` for the n-th further row of the same target."""
-    n = F.row_number().over(Window.partitionBy(target).orderBy(order)) - 1
-    return rows.withColumn("target", F.when(n == 0, F.col(target)).otherwise(F.concat(F.col(target), F.lit("_"), n.cast("string"))))
+    n = F.col("_n") - 1
+    return row_numbers(rows, target, order, "_n").withColumn("target", F.when(n == 0, F.col(target)).otherwise(F.concat(F.col(target), F.lit("_"), n.cast("string")))).drop("_n")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytefleet.functions.scalars import pad_right
 from bytefleet.functions.text import ascii_lower, ascii_upper
+from bytefleet.operators.lineage import cut
+from bytefleet.operators.ordinals import running_sums
 
 
 def list_lines(path: Column, kind: Column) -> Column:
@@ -33,11 +37,14 @@ def subtree(files: DataFrame, path: str, root: str) -> DataFrame:
     return files.filter(F.startswith(F.col(path), F.lit(root.rstrip("/") + "/")))
 
 
-def descendants(edges: DataFrame, roots: DataFrame, levels: int = 64) -> DataFrame:
-    """(node, depth) below the roots along (node, parent), by one join for each level; a node is reached once, so cycles end."""
-    found = front = roots.select("node", F.lit(0).alias("depth"))
-    for depth in range(1, levels + 1):
-        front = edges.join(front.select(F.col("node").alias("parent")), "parent").select("node").distinct().join(found, "node", "left_anti").select("node", F.lit(depth).alias("depth"))
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, depth) below the roots along (node, parent), by one join for each level; a node is reached once, so cycles end.
+
+    Each level is checkpointed, so that a level costs its own join alone however deep the tree is.
+    """
+    found = front = cut(roots.select("node", F.lit(0).alias("depth")))
+    for depth in count(1):
+        front = cut(edges.join(front.select(F.col("node").alias("parent")), "parent").select("node").distinct().join(found, "node", "left_anti").select("node", F.lit(depth).alias("depth")))
         if front.isEmpty():
             break
         found = found.unionByName(front)
@@ -80,8 +87,7 @@ def repaired_ends(entries: DataFrame, group: str, start: str, end: str, size: Co
 
 def offsets(entries: DataFrame, group: str, order: str, size: str) -> DataFrame:
     """Where each member of a solid archive begins: the sizes before it."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return entries.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("bigint"))
+    return running_sums(entries, group, order, {"offset": F.col(size).cast("bigint")}, before=True)
 
 
 def report_order(rows: DataFrame, *columns: str) -> DataFrame:
@@ -89,6 +95,11 @@ def report_order(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.orderBy(*[ascii_lower(F.col(c)) for c in columns])
 
 
+def distinct_lines(rows: DataFrame, line: str) -> DataFrame:
+    """Each line of a report once."""
+    return rows.select(line).filter(F.col(line).isNotNull()).distinct()
+
+
 def unused(total: DataFrame, used: DataFrame) -> DataFrame:
     """Blocks that no extent has."""
     return total.join(used, "block", "left_anti")

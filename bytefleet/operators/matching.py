@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytefleet.functions.scalars import filled, is_geos, match_label, round_half_up
+from bytefleet.operators.lineage import cut
+from bytefleet.operators.ordinals import running_sums
 
 
 def block_grams(text: Column) -> Column:
     """Distinct aligned 8-character blocks, and the last 8 characters where the length isn't a multiple; none under 8 characters."""
     n = F.char_length(text)
-    blocks = F.transform(F.sequence(F.lit(1), F.greatest(n - 7, F.lit(1)), F.lit(8)), lambda k: F.substr(text, k, F.lit(8)))
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{8}"), F.lit(0))
     with_tail = F.when((n > 8) & (n % 8 != 0), F.concat(blocks, F.array(F.right(text, F.lit(8))))).otherwise(blocks)
     return F.when(n >= 8, F.array_distinct(with_tail)).otherwise(F.array().cast("array<string>"))
 
 
 def sliding_grams(text: Column) -> Column:
-    """Distinct 8-character windows."""
+    """Distinct 8-character windows, found in one pass over the text; characters that the pass would take for two are cut one by one."""
     n = F.char_length(text)
-    return F.when(n >= 8, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 7, F.lit(1))), lambda k: F.substr(text, k, F.lit(8))))).otherwise(F.array().cast("array<string>"))
+    one_pass = F.regexp_extract_all(text, F.lit("(?s)(?=(.{8}))"), F.lit(1))
+    chars = F.split(text, "")
+    by_char = F.transform(F.sequence(F.lit(1), F.greatest(n - 7, F.lit(1))), lambda k: F.array_join(F.slice(chars, k, 8), ""))
+    windows = F.when(F.rlike(text, F.lit(r"[\x{10000}-\x{10FFFF}]")), by_char).otherwise(one_pass)
+    return F.when(n >= 8, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
 
 
 def scores(first: DataFrame, second: DataFrame, id1: str, id2: str, text1: str = "text", text2: str = "text") -> DataFrame:
@@ -30,18 +38,58 @@ def scores(first: DataFrame, second: DataFrame, id1: str, id2: str, text1: str =
     gram is left to adaptive skew handling, as dropping it would change scores.
     """
 
-    def exploded(df: DataFrame, key: str, text: str, name: str, grams) -> DataFrame:
-        return df.select(F.col(key).alias(name), F.explode(grams(F.col(text))).alias("gram"))
+    ct1 = _exploded(first, id1, text1, "i1", block_grams).join(_exploded(second, id2, text2, "i2", sliding_grams), "gram").groupBy("i1", "i2").agg(F.count("*").alias("ct1"))
+    ct2 = _exploded(second, id2, text2, "i2", block_grams).join(_exploded(first, id1, text1, "i1", sliding_grams), "gram").groupBy("i1", "i2").agg(F.count("*").alias("ct2"))
+    rows = ct1.join(ct2, ["i1", "i2"], "full").join(_sizes(first, id1, text1, 1), "i1").join(_sizes(second, id2, text2, 2), "i2").filter("blocks1 > 0 and blocks2 > 0")
+    return _scored(rows).filter("score > 0")
+
+
+def _exploded(df: DataFrame, key: str, text: str, name: str, grams) -> DataFrame:
+    return df.select(F.col(key).alias(name), F.explode(grams(F.col(text))).alias("gram"))
+
+
+def _sizes(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    return df.select(F.col(key).alias(f"i{n}"), F.octet_length(text).alias(f"size{n}"), F.size(block_grams(F.col(text))).alias(f"blocks{n}"))
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    # a filter on blocks may be evaluated after this
+    p1, p2 = F.try_divide(F.coalesce("ct1", F.lit(0)), F.col("blocks1")), F.try_divide(F.coalesce("ct2", F.lit(0)), F.col("blocks2"))
+    lp = F.try_divide(F.least("size1", "size2"), F.greatest("size1", "size2"))
+    return rows.select(F.col("i1").alias("id1"), F.col("i2").alias("id2"), round_half_up(lp * p1 * p2 * 30 + p1 * 35 + p2 * 35).alias("score"))
+
+
+def contenders(first: DataFrame, second: DataFrame, least: int) -> DataFrame:
+    """(i1, i2) of the pairs of (id, text) that can reach the score; none that does is missed.
+
+    With m the greater of p1 and p2 a score is 30 m^2 + 70 m at most, so one of the two has a least share. A file of n blocks that
+    shares that many with the other side shares one of its first n - ceil(m n) + 1, whatever their order: blocks are ordered by
+    how many files of the other side have them, rarest first, so that the grams which very many files share are hardly ever joined.
+    """
+    m = (math.sqrt(4900 + 120 * (least - 0.5)) - 70) / 60 - 1e-9
+
+    def one(blocks_of: DataFrame, windows_of: DataFrame, i: str, j: str) -> DataFrame:
+        windows = _exploded(windows_of, "id", "text", j, sliding_grams)
+        times = windows.groupBy("gram").agg(F.count("*").alias("times"))
+        blocks = blocks_of.select(F.col("id").alias(i), block_grams(F.col("text")).alias("g")).select(i, F.size("g").alias("n"), F.explode("g").alias("gram"))
+        order = Window.partitionBy(i).orderBy("times", "gram")  # the blocks of one file
+        ranked = blocks.join(times, "gram", "left").withColumn("times", F.coalesce("times", F.lit(0))).withColumn("place", F.row_number().over(order))
+        front = ranked.filter(F.col("place") <= F.col("n") - F.greatest(F.ceil(F.col("n") * m), F.lit(1)) + 1).filter("times > 0").select(i, "gram")
+        return front.join(windows, "gram").select("i1", "i2")
+
+    return one(first, second, "i1", "i2").unionByName(one(second, first, "i2", "i1")).distinct()
+
+
+def scores_of(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """(id1, id2, score) of the given pairs (i1, i2) with blocks, 0 included: the grams of these files alone are counted, pair by pair."""
 
-    def sizes(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-        return df.select(F.col(key).alias(f"i{n}"), F.octet_length(text).alias(f"size{n}"), F.size(block_grams(F.col(text))).alias(f"blocks{n}"))
+    def shared(blocks_of: DataFrame, windows_of: DataFrame, i: str, j: str, name: str) -> DataFrame:
+        blocks = pairs.join(_exploded(blocks_of, "id", "text", i, block_grams), i)
+        windows = _exploded(windows_of, "id", "text", j, sliding_grams).join(pairs.select(j).distinct(), j, "left_semi")
+        return blocks.join(windows, [j, "gram"]).groupBy("i1", "i2").agg(F.count("*").alias(name))
 
-    ct1 = exploded(first, id1, text1, "i1", block_grams).join(exploded(second, id2, text2, "i2", sliding_grams), "gram").groupBy("i1", "i2").agg(F.count("*").alias("ct1"))
-    ct2 = exploded(second, id2, text2, "i2", block_grams).join(exploded(first, id1, text1, "i1", sliding_grams), "gram").groupBy("i1", "i2").agg(F.count("*").alias("ct2"))
-    rows = ct1.join(ct2, ["i1", "i2"], "full").join(sizes(first, id1, text1, 1), "i1").join(sizes(second, id2, text2, 2), "i2").filter("blocks1 > 0 and blocks2 > 0")
-    p1, p2 = F.coalesce("ct1", F.lit(0)) / F.col("blocks1"), F.coalesce("ct2", F.lit(0)) / F.col("blocks2")
-    lp = F.least("size1", "size2") / F.greatest("size1", "size2")
-    return rows.select(F.col("i1").alias("id1"), F.col("i2").alias("id2"), round_half_up(lp * p1 * p2 * 30 + p1 * 35 + p2 * 35).alias("score")).filter("score > 0")
+    counted = pairs.join(shared(first, second, "i1", "i2", "ct1"), ["i1", "i2"], "left").join(shared(second, first, "i2", "i1", "ct2"), ["i1", "i2"], "left")
+    return _scored(counted.join(_sizes(first, "id", "text", 1), "i1").join(_sizes(second, "id", "text", 2), "i2").filter("blocks1 > 0 and blocks2 > 0"))
 
 
 def geos_equal(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -66,11 +114,12 @@ def geos_equal(first: DataFrame, second: DataFrame) -> DataFrame:
     return side(first, 1).join(side(second, 2), "info").filter((F.abs(n1 - n2) < 257) & same & filled(longer)).select("id1", "id2")
 
 
-def classify(first: DataFrame, second: DataFrame, deeper: int | None = None) -> DataFrame:
+def classify(first: DataFrame, second: DataFrame, deeper: int | None = None, place: str | None = None) -> DataFrame:
     """(id1, id2, label, equal, approx) of two relations (id, name, digest, text, and data if desktop files are to be compared by their own rule), by priority.
 
     Equal contents: MATCH. Else, with `deeper`, a score that reaches it: M-n%, which counts as equal; below it, for files of the
     same name: n%, or DIFF at 0. Without `deeper`, and for payloads that are empty, the same name gives DIFF. All else gives no row.
+    With `place`, the column of both that names the file on disk, files of one and the same place aren't matched with each other.
     """
     a = first.select(F.col("id").alias("id1"), F.col("name").alias("name1"), F.col("digest").alias("d1"), F.octet_length("text").alias("n1"))
     b = second.select(F.col("id").alias("id2"), F.col("name").alias("name2"), F.col("digest").alias("d2"), F.octet_length("text").alias("n2"))
@@ -82,10 +131,16 @@ def classify(first: DataFrame, second: DataFrame, deeper: int | None = None) ->
     if deeper is not None:
         if deeper < 1:
             raise ValueError("a score of 0 would pair all with all")
-        scored = scores(first, second, "id", "id").join(named.select("id1", "id2", F.lit(True).alias("named")), ["id1", "id2"], "left")
+        texts = [df.select("id", "text") for df in (first, second)]
+        pairs = cut(contenders(*texts, deeper).unionByName(named.select(F.col("id1").alias("i1"), F.col("id2").alias("i2"))).distinct())
+        scored = scores_of(pairs, *texts).filter("score > 0").join(named.select("id1", "id2", F.lit(True).alias("named")), ["id1", "id2"], "left")
         near = scored.filter((F.col("score") >= deeper) | F.col("named")).select("id1", "id2", (F.col("score") >= deeper).alias("equal"), F.col("score").alias("approx"), F.lit(2).alias("rank"))
         rows = rows.unionByName(near)
     best = rows.groupBy("id1", "id2").agg(F.min(F.struct("rank", "equal", "approx")).alias("x"))
+    if place is not None:
+        for df, n in ((first, 1), (second, 2)):
+            best = best.join(df.select(F.col("id").alias(f"id{n}"), F.col(place).alias(f"place{n}")), f"id{n}")
+        best = best.filter(~F.col("place1").eqNullSafe(F.col("place2")))
     return best.select("id1", "id2", match_label(F.col("x.equal"), F.col("x.approx")).alias("label"), F.col("x.equal").alias("equal"), F.col("x.approx").alias("approx"))
 
 
@@ -110,5 +165,5 @@ def containment(pairs: DataFrame, first: DataFrame, second: DataFrame, container
 
 def running(rows: DataFrame, partition: str, order: str, hit: Column) -> DataFrame:
     """running_pct: the percentage of hits among the rows of a partition up to each, in order."""
-    w = Window.partitionBy(partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running_pct", round_half_up(100.0 * F.sum(F.when(hit, 1).otherwise(0)).over(w) / F.count("*").over(w)))
+    done = running_sums(rows, partition, order, {"_hits": F.when(hit, 1).otherwise(0).cast("bigint"), "_rows": F.lit(1).cast("bigint")})
+    return done.withColumn("running_pct", round_half_up(100.0 * F.col("_hits") / F.col("_rows"))).drop("_hits", "_rows")

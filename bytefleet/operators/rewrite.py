@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+import io
 import os
+import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -117,23 +120,78 @@ def extracted(files: DataFrame, folder: str, with_type: bool = False, image: Col
 
 
 def replaced_partitions(drives: DataFrame, replacements: DataFrame) -> DataFrame:
-    """(path, content, n): drives (path, content) with the partitions whose `number_name.type` a replacement (file_name, content) has; of equal length, or it fails."""
-    new = {r["file_name"].lower(): r["content"] for r in replacements.limit(257).collect()}  # one drive's partitions: 256 at most
-    if len(new) > 256:
-        raise ValueError("more replacements than a drive has partitions")
+    """(path, content, n, error): drives (path, content) with the partitions whose `number_name.type` a replacement (file_name, content) has.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A replacement with a path is for that drive alone, others are for every drive with such a partition: each drive meets its own
+    ones, by its path and its partitions' names. One of another length, or a drive without a table, gives a row with an error.
+    """
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                drive, n = bytes(content), 0
-                for part in volumes.read_partitions(drive[volumes.TABLE : volumes.TABLE + 2 + 256 * 32]):
-                    if (name := volumes.partition_file(part).lower()) in new:
-                        drive, n = volumes.replaced_partition(drive, part, bytes(new[name])), n + 1
-                rows.append((path, drive, n))
-            yield pd.DataFrame(rows, columns=["path", "content", "n"])
-
-    return drives.select("path", "content").mapInPandas(run, "path string, content binary, n bigint")
+            for path, table in zip(batch["path"], batch["table"], strict=True):
+                try:
+                    rows += [(path, volumes.partition_file(p).lower()) for p in volumes.read_partitions(bytes(table or b""))]
+                except FormatError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "file_name"])
+
+    held = drives.select("path", F.substring("content", volumes.TABLE + 1, 2 + 256 * 32).alias("table")).mapInPandas(names, "path string, file_name string")
+    new = replacements.select(F.lower("file_name").alias("file_name"), F.col("content").alias("new"), *([F.col("path").alias("only")] if "path" in replacements.columns else [F.lit(None).cast("string").alias("only")]))
+    own = held.join(new, "file_name").filter(F.col("only").isNull() | (F.col("only") == F.col("path"))).select("path", "file_name", "new")
+
+    def change(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        wanted, rows = dict(zip(right["file_name"], right["new"], strict=True)), []
+        for path, content in zip(left["path"], left["content"], strict=True):
+            drive, n = bytes(content or b""), 0
+            try:
+                for part in volumes.read_partitions(_table(drive)):
+                    if (name := volumes.partition_file(part).lower()) in wanted:
+                        drive, n = volumes.replaced_partition(drive, part, bytes(wanted[name])), n + 1
+                rows.append((path, drive, n, None))
+            except FormatError as e:
+                rows.append((path, None, 0, str(e)))
+        return pd.DataFrame(rows, columns=["path", "content", "n", "error"])
+
+    return drives.select("path", "content").groupBy("path").cogroup(own.groupBy("path")).applyInPandas(change, "path string, content binary, n bigint, error string")
+
+
+def _table(drive: bytes) -> bytes:
+    return drive[volumes.TABLE : volumes.TABLE + 2 + 256 * 32]
+
+
+def put_back(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """(path, content, error): the files (path, content) with what was changed inside them (container, entry, content, error) put back.
+
+    A zip file keeps its other members, a packed entry is packed again. A file of which nothing was changed is left out; a failed
+    change is an error of its file, which then has no content. Each file meets its own changes alone.
+    """
+
+    def packed(entry: str, content: bytes) -> bytes:
+        return gzip.compress(content, mtime=0) if entry.lower().endswith(".gz") else content
+
+    def rebuilt(data: bytes, new: dict[str, bytes]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as made:
+            for info in old.infolist():
+                made.writestr(info, new[info.filename] if info.filename in new else old.read(info))
+        return out.getvalue()
+
+    def change(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows, errors = [], [e for e in right["error"] if e]
+        new = {e: packed(e, bytes(c)) for e, c in zip(right["entry"], right["content"], strict=True) if c is not None}
+        for path, content in zip(left["path"], left["content"], strict=True):
+            if errors:
+                rows.append((path, None, "; ".join(sorted(errors))))
+            elif new:
+                try:
+                    rows.append((path, rebuilt(bytes(content), new) if path.lower().endswith(".zip") else next(iter(new.values())), None))
+                except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError) as e:
+                    rows.append((path, None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["path", "content", "error"])
+
+    pairs = files.select("path", "content").groupBy("path").cogroup(changed.select(F.col("container").alias("path"), "entry", "content", "error").groupBy("path"))
+    return pairs.applyInPandas(change, "path string, content binary, error string")
 
 
 def rle(rows: DataFrame, data: str, pack: bool = True) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytefleet.functions.scalars import on_platform
+from bytefleet.functions.scalars import SIZE_CAP, on_platform
 from bytefleet.functions.text import inside_matches, name_matches
+from bytefleet.operators.ordinals import row_numbers
 
 
 def search(files: DataFrame, pattern: str, name: str = "file_name", text: str | None = None, data: str | None = None, inside: bool = False, case_sensitive: bool = False, platforms: tuple[str, ...] = ()) -> DataFrame:
@@ -22,7 +23,17 @@ def search(files: DataFrame, pattern: str, name: str = "file_name", text: str |
 
 def numbered(files: DataFrame, image: str, order: str | Column) -> DataFrame:
     """filenum: a file's place in its image's listing, from 1."""
-    return files.withColumn("filenum", F.row_number().over(Window.partitionBy(image).orderBy(order)).cast("bigint"))
+    return row_numbers(files, image, order, "filenum")
+
+
+def present(files: DataFrame, data: str = "data", cap: int = SIZE_CAP) -> DataFrame:
+    """Rows with a payload that is within the size cap."""
+    return files.filter(F.col(data).isNotNull() & (F.octet_length(data) <= cap))
+
+
+def messages(files: DataFrame, error: str = "error") -> DataFrame:
+    """(message, n): each distinct message of a relation with errors once, and how many rows have it."""
+    return files.filter(F.col(error).isNotNull()).groupBy(F.col(error).alias("message")).agg(F.count("*").alias("n"))
 
 
 def catalog(files: DataFrame, images: DataFrame | None = None, image: str = "image", name: str = "file_name", order: str = "ord", data: str = "data", kind: str | Column = "file_type") -> DataFrame:

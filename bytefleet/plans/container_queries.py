@@ -101,7 +101,7 @@ def volume_roundtrip(spark, sf_dir):
             yield pd.DataFrame([(f"/{c}/{k}!disk", pack) for c, content in zip(batch["container"], batch["content"], strict=True) for k, pack in enumerate(volumes.pack_four(bytes(content)), 1)], columns=["path", "content"])
 
     packs = disks.select("container", "content").mapInPandas(split, "path string, content binary")
-    whole = containers.unpacked_volumes(packs).withColumn("container", F.regexp_extract("container", "^/([^/]*)/", 1)).withColumn("error", F.lit(None).cast("string"))
+    whole = containers.unpacked_volumes(packs).withColumn("container", F.regexp_extract("container", "^/([^/]*)/", 1))
     return _shown(containers.parse(whole))
 
 

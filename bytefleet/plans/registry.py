@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bytefleet.plans import container_queries, relation_queries, search_queries
+from bytefleet.plans import container_queries, format_queries, relation_queries, search_queries
 
 FLAGSHIP = "inside_ci"
-_MODULES = (search_queries, relation_queries, container_queries)
+_MODULES = (search_queries, relation_queries, container_queries, format_queries)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -15,20 +15,7 @@ def _even(image="image"):
 
 
 def _disk(spark, sf_dir, even):
-    # images are compared in pairs: 0 with 1, 2 with 3 and so on
-    f = documents(spark, sf_dir).filter(_even() if even else ~_even())
-    return f.select(F.concat_ws("/", F.floor(F.substring("image", 4, 5).cast("int") / 2).cast("string"), "lang", (F.floor(F.col("doc_id") / 20) % 37).cast("string"), F.col("file_type")).alias("path"), F.col("lang").alias("name"), F.col("file_type").alias("type"), F.octet_length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("digest")).groupBy("path", "name", "type").agg(F.max(F.struct("digest", "size")).alias("x")).select("path", "name", "type", F.col("x.size").alias("size"), F.col("x.digest").alias("digest"))
-
-
-def _found(kind):
-    def run(spark, sf_dir):
-        return compare.compare(_disk(spark, sf_dir, True), _disk(spark, sf_dir, False)).filter(F.col("kind") == kind)
-
-    return run
-
-
-def _whole_disk(spark, sf_dir, even):
-    # every document has a path of its own: the row number tells apart those of one image pair, language and run of ids
+    # images are compared in pairs, 0 with 1, 2 with 3 and so on; every document has a path of its own: the row number tells apart those of one image pair, language and run of ids
     f = documents(spark, sf_dir).filter(_even() if even else ~_even())
     cell = F.concat_ws("/", F.floor(F.substring("image", 4, 5).cast("int") / 2).cast("string"), "lang", F.floor(F.col("doc_id") / 20).cast("string"), F.col("file_type"))
     rows = f.select(cell.alias("cell"), "doc_id", F.col("lang").alias("name"), F.col("file_type").alias("type"), F.octet_length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("digest"))
@@ -36,9 +23,9 @@ def _whole_disk(spark, sf_dir, even):
     return rows.select(F.concat_ws("/", "cell", n.cast("string")).alias("path"), "name", "type", "size", "digest")
 
 
-def _found_in_all(kind):
+def _found(kind):
     def run(spark, sf_dir):
-        return compare.compare(_whole_disk(spark, sf_dir, True), _whole_disk(spark, sf_dir, False)).filter(F.col("kind") == kind)
+        return compare.compare(_disk(spark, sf_dir, True), _disk(spark, sf_dir, False)).filter(F.col("kind") == kind)
 
     return run
 
@@ -107,7 +94,7 @@ def match_exact_pairs(spark, sf_dir):
 
 def match_diff_same_name(spark, sf_dir):
     o = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.md5(F.col("s_acctbal").cast("string")).alias("digest"), F.col("s_name").alias("text"))
-    return matching.classify(o, o.withColumn("digest", F.concat(F.lit("x"), "digest")).filter("id % 2 = 0"))
+    return matching.classify(o, o.withColumn("digest", F.concat(F.lit("x"), "digest")))
 
 
 def match_summary(spark, sf_dir):
@@ -168,7 +155,7 @@ def cross_links(spark, sf_dir):
 
 def free_blocks(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    used = table(spark, sf_dir, "lineitem").filter("l_quantity > 48").select(F.col("l_partkey").alias("block")).distinct()
+    used = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("block"))
     from bytefleet.operators.listing import unused
 
     return unused(part.select(F.col("p_partkey").alias("block")), used)
@@ -181,12 +168,12 @@ def file_issues(spark, sf_dir):
 
 
 _KINDS = ("differs", "moved", "missing1", "missing2")
-QUERIES = {f"compare_{k}": _found(k) for k in _KINDS} | {f"compare_all_{k}": _found_in_all(k) for k in _KINDS} | {
+QUERIES = {f"compare_all_{k}": _found(k) for k in _KINDS} | {
     f.__name__: f
     for f in (dup_groups, coverage_by_dir, coverage_missing, unknown_files, first_partner, collision_suffix, approx_pairs, match_classes, match_exact_pairs, match_diff_same_name, match_summary, full_containment, running_match_pct, alloc_check, alloc_counts, alloc_repair, affected_files, free_by_track, total_free, cross_links, free_blocks, file_issues)
 }
 
-_DISK = """SELECT path, name, type, arg_max(size, digest) AS size, max(digest) AS digest FROM (SELECT concat_ws('/', CAST(CAST(floor(CAST(substr(image, 4, 5) AS INTEGER) / 2) AS BIGINT) AS VARCHAR), lang, CAST(CAST(floor(doc_id / 20) AS BIGINT) % 37 AS VARCHAR), file_type) AS path, lang AS name, file_type AS type, octet_length(data) AS size, sha256(text) AS digest FROM f WHERE CAST(substr(image, 4, 5) AS INTEGER) % 2 = {}) GROUP BY path, name, type"""
+_DISK = """SELECT cell || '/' || row_number() OVER (PARTITION BY cell ORDER BY doc_id, digest) AS path, name, type, size, digest FROM (SELECT concat_ws('/', CAST(CAST(floor(CAST(substr(image, 4, 5) AS INTEGER) / 2) AS BIGINT) AS VARCHAR), lang, CAST(CAST(floor(doc_id / 20) AS BIGINT) AS VARCHAR), file_type) AS cell, doc_id, lang AS name, file_type AS type, octet_length(data) AS size, sha256(text) AS digest FROM f WHERE CAST(substr(image, 4, 5) AS INTEGER) % 2 = {})"""
 _DISKS = f"WITH {DOCUMENTS_SQL}, a AS ({_DISK.format(0)}), b AS ({_DISK.format(1)}), o1 AS (SELECT * FROM a WHERE path NOT IN (SELECT path FROM b)), o2 AS (SELECT * FROM b WHERE path NOT IN (SELECT path FROM a))"
 _PAIR = "a.path AS path1, b.path AS path2, a.type AS type1, b.type AS type2, a.size AS size1, b.size AS size2"
 _SAME = f"{up('a.name')} = {up('b.name')} AND a.digest = b.digest"
@@ -214,10 +201,10 @@ l AS (SELECT s.image, s.file, s.other, shared, CASE WHEN shared = n1.n THEN 'ins
 _AFFECTED = "af AS (SELECT v.image, v.file, count(*) AS n_sectors, count(*) FILTER (mark = '0') AS n_free FROM v JOIN k ON v.image = k.image AND v.track = k.track AND v.sector = k.sector GROUP BY ALL HAVING n_free > 0)"
 _EQUAL = f"WITH {DOCUMENTS_SQL}, e AS (SELECT a.doc_id AS id1, b.doc_id AS id2, a.image AS c1, b.image AS c2 FROM f a JOIN f b ON a.text = b.text AND octet_length(a.data) > 0 WHERE CAST(substr(a.image, 4, 5) AS INTEGER) % 2 = 0 AND CAST(substr(b.image, 4, 5) AS INTEGER) % 2 = 1)"
 ORACLE_SQL = {
-    "compare_differs": f"{_DISKS} SELECT 'differs' AS kind, {_PAIR} FROM a JOIN b ON a.path = b.path WHERE a.digest IS DISTINCT FROM b.digest",
-    "compare_moved": f"{_DISKS} SELECT 'moved' AS kind, {_PAIR} FROM o1 a JOIN o2 b ON {_SAME}",
-    "compare_missing1": f"{_DISKS} SELECT 'missing1' AS kind, CAST(NULL AS VARCHAR) AS path1, b.path AS path2, CAST(NULL AS VARCHAR) AS type1, b.type AS type2, CAST(NULL AS BIGINT) AS size1, b.size AS size2 FROM o2 b WHERE NOT EXISTS (SELECT 1 FROM o1 a WHERE {_SAME})",
-    "compare_missing2": f"{_DISKS} SELECT 'missing2' AS kind, a.path AS path1, CAST(NULL AS VARCHAR) AS path2, a.type AS type1, CAST(NULL AS VARCHAR) AS type2, a.size AS size1, CAST(NULL AS BIGINT) AS size2 FROM o1 a WHERE NOT EXISTS (SELECT 1 FROM o2 b WHERE {_SAME})",
+    "compare_all_differs": f"{_DISKS} SELECT 'differs' AS kind, {_PAIR} FROM a JOIN b ON a.path = b.path WHERE a.digest IS DISTINCT FROM b.digest",
+    "compare_all_moved": f"{_DISKS} SELECT 'moved' AS kind, {_PAIR} FROM o1 a JOIN o2 b ON {_SAME}",
+    "compare_all_missing1": f"{_DISKS} SELECT 'missing1' AS kind, CAST(NULL AS VARCHAR) AS path1, b.path AS path2, CAST(NULL AS VARCHAR) AS type1, b.type AS type2, CAST(NULL AS BIGINT) AS size1, b.size AS size2 FROM o2 b WHERE NOT EXISTS (SELECT 1 FROM o1 a WHERE {_SAME})",
+    "compare_all_missing2": f"{_DISKS} SELECT 'missing2' AS kind, a.path AS path1, CAST(NULL AS VARCHAR) AS path2, a.type AS type1, CAST(NULL AS VARCHAR) AS type2, a.size AS size1, CAST(NULL AS BIGINT) AS size2 FROM o1 a WHERE NOT EXISTS (SELECT 1 FROM o2 b WHERE {_SAME})",
     "dup_groups": f"{_CAT} SELECT hash, length, count(*) AS n_files, min(path) AS first_path FROM c GROUP BY ALL HAVING count(*) >= 2",
     "coverage_by_dir": f"{_CAT}, d AS (SELECT DISTINCT hash, length FROM k) SELECT dir, count(*) AS total, count(d.hash) AS matches, CAST(floor(100.0 * count(d.hash) / count(*) + 0.5) AS BIGINT) AS pct FROM p LEFT JOIN d ON p.hash = d.hash AND p.length = d.length GROUP BY dir",
     "coverage_missing": f"{_CAT}, kk AS (SELECT DISTINCT upper(sha256(text)) AS hash, octet_length(data) AS length FROM f WHERE lang <> 'es'), r AS (SELECT c.dir, c.path, kk.hash IS NOT NULL AS ok FROM c LEFT JOIN kk ON c.hash = kk.hash AND c.length = kk.length), g AS (SELECT dir FROM r GROUP BY dir HAVING floor(100.0 * count(*) FILTER (ok) / count(*) + 0.5) > 90) SELECT dir, path FROM r WHERE NOT ok AND dir IN (SELECT dir FROM g)",
@@ -230,7 +217,7 @@ r AS (SELECT id1, id2, true AS equal, CAST(0 AS BIGINT) AS approx, 1 AS rank FRO
 t AS (SELECT id1, id2, equal, approx, row_number() OVER (PARTITION BY id1, id2 ORDER BY rank) AS n FROM r)
 SELECT id1, id2, CASE WHEN equal AND approx = 0 THEN 'MATCH' WHEN equal THEN 'M-' || approx || '%' WHEN approx > 0 THEN rpad(approx || '%', CAST(greatest(5, length(approx || '%')) AS INTEGER), ' ') ELSE 'DIFF' END AS label, equal, approx FROM t WHERE n = 1""",
     "match_exact_pairs": f"WITH {DOCUMENTS_SQL} SELECT a.doc_id AS id1, b.doc_id AS id2, 'MATCH' AS label FROM f a JOIN f b ON a.text = b.text AND octet_length(a.data) > 0 WHERE CAST(substr(a.image, 4, 5) AS INTEGER) % 2 = 0 AND CAST(substr(b.image, 4, 5) AS INTEGER) % 2 = 1",
-    "match_diff_same_name": "SELECT a.s_suppkey AS id1, b.s_suppkey AS id2, 'DIFF' AS label, false AS equal, CAST(0 AS BIGINT) AS approx FROM supplier a JOIN supplier b ON a.s_name = b.s_name WHERE b.s_suppkey % 2 = 0",
+    "match_diff_same_name": "SELECT a.s_suppkey AS id1, b.s_suppkey AS id2, 'DIFF' AS label, false AS equal, CAST(0 AS BIGINT) AS approx FROM supplier a JOIN supplier b ON a.s_name = b.s_name",
     "match_summary": f"{_EQUAL} SELECT image AS container, count(*) AS num_files, count(*) FILTER (doc_id IN (SELECT id1 FROM e)) AS matched_anywhere FROM f WHERE CAST(substr(image, 4, 5) AS INTEGER) % 2 = 0 AND NOT coalesce(lang = 'es', false) GROUP BY image",
     "full_containment": f"{_EQUAL}, g AS (SELECT c1 AS container1, c2 AS container2, count(*) AS pairs, count(DISTINCT id1) AS files FROM e GROUP BY ALL) SELECT g.*, num_files, pairs >= num_files AS \"full\" FROM g JOIN (SELECT image, count(*) AS num_files FROM f WHERE NOT coalesce(lang = 'es', false) GROUP BY image) ON image = container1",
     "running_match_pct": "SELECT doc_id, CAST(floor(100.0 * sum(CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END) OVER w / count(*) OVER w + 0.5) AS BIGINT) AS running_pct FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
@@ -241,10 +228,7 @@ SELECT id1, id2, CASE WHEN equal AND approx = 0 THEN 'MATCH' WHEN equal THEN 'M-
     "free_by_track": f"WITH {_BAM} SELECT image, track, count(*) FILTER (is_free) AS free FROM m WHERE track <> 18 GROUP BY image, track",
     "total_free": f"WITH {_BAM} SELECT image, count(*) FILTER (is_free) AS free FROM m WHERE track <> 18 GROUP BY image",
     "cross_links": f"WITH v AS (SELECT DISTINCT l_orderkey % 16 AS image, l_orderkey AS file, l_suppkey AS track, l_partkey AS sector FROM lineitem), {_LINKS} SELECT image, file, other, shared, kind FROM l",
-    "free_blocks": "SELECT p_partkey AS block FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)",
+    "free_blocks": "SELECT p_partkey AS block FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier)",
     "file_issues": f"""{_M}, {_LINKS}, {_AFFECTED} SELECT image, file, CAST(NULL AS BIGINT) AS other, 'block count' AS kind FROM n WHERE file % 2 = 0
 UNION ALL SELECT image, file, NULL, 'not allocated' FROM af UNION ALL SELECT image, file, other, kind FROM l""",
 }
-# compare_all_*: the comparisons above over all documents, each at a path of its own
-_WHOLE = """SELECT cell || '/' || row_number() OVER (PARTITION BY cell ORDER BY doc_id, digest) AS path, name, type, size, digest FROM (SELECT concat_ws('/', CAST(CAST(floor(CAST(substr(image, 4, 5) AS INTEGER) / 2) AS BIGINT) AS VARCHAR), lang, CAST(CAST(floor(doc_id / 20) AS BIGINT) AS VARCHAR), file_type) AS cell, doc_id, lang AS name, file_type AS type, octet_length(data) AS size, sha256(text) AS digest FROM f WHERE CAST(substr(image, 4, 5) AS INTEGER) % 2 = {})"""
-ORACLE_SQL |= {f"compare_all_{k}": ORACLE_SQL[f"compare_{k}"].replace(_DISK.format(0), _WHOLE.format(0)).replace(_DISK.format(1), _WHOLE.format(1)) for k in _KINDS}

@@ -85,7 +85,7 @@ def ext_filter(spark, sf_dir):
 
 
 def size_cap(spark, sf_dir):
-    return documents(spark, sf_dir).filter(F.octet_length("data") <= 5000).select("doc_id", F.octet_length("data").cast("bigint").alias("size"))
+    return search.present(documents(spark, sf_dir), "data", 5000).select("doc_id", F.octet_length("data").cast("bigint").alias("size"))
 
 
 def subtree(spark, sf_dir):

@@ -6,9 +6,10 @@ error and never fails a task. Only packed volumes need a shuffle, as their sibli
 
 from __future__ import annotations
 
-import gzip
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,7 +29,8 @@ FILES = (
 )
 ENTRIES = "container string, entry string, content binary, error string"
 BAM = "container string, entry string, track int, sector int, is_free boolean"
-IMAGES = "container string, entry string, content binary"
+SECTORS = "container string, entry string, track int, sector int, data binary"
+_DISKS = ("D64", "D71", "D81", "D80", "D82", "DNP")
 _TAKEN = r"(?i)(\.(d64|d71|d81|d80|d82|dnp|t64|lnx|lbr|arc|sda|zc4|zc6|prg|seq|cvt|sfx|p00|s00|u00|r00|wra|wr3)(\.gz)?|,[sp]|\.zip|(^|/)[1-6]!!?[^/]+)$"
 
 
@@ -62,23 +64,46 @@ def _inside(name: str, data: bytes) -> list[tuple[str, bytes | None, str | None]
                     if info.is_dir():
                         continue
                     try:
-                        if info.file_size > SIZE_CAP:
-                            raise FormatError("over the size cap")
-                        out.append(_unzipped(info.filename, z.read(info)))
+                        out.append(_unzipped(info.filename, _member(z, data, info)))
                     except Exception as e:  # noqa: BLE001 - any fault of one member is reported in its row
                         out.append((info.filename, None, str(e)))
-        except zipfile.BadZipFile as e:
-            out.append((base, None, str(e)))
+        except (zipfile.BadZipFile, OSError, EOFError, ValueError, NotImplementedError, struct.error) as e:
+            out.append((base, None, f"{type(e).__name__}: {e}"))
         return out
     return [_unzipped(base, data)]
 
 
+def _member(z: zipfile.ZipFile, data: bytes, info: zipfile.ZipInfo) -> bytes:
+    """A member's bytes, up to the size cap; of one that doesn't tell its size, what is there up to MEMBER_CAP."""
+    if info.file_size > SIZE_CAP:
+        raise FormatError("over the size cap")
+    if info.file_size or not info.compress_size or info.compress_type != zipfile.ZIP_DEFLATED:
+        return z.read(info)
+    at = info.header_offset
+    begin = at + 30 + int.from_bytes(data[at + 26 : at + 28], "little") + int.from_bytes(data[at + 28 : at + 30], "little")
+    return zlib.decompressobj(-15).decompress(data[begin : begin + info.compress_size], MEMBER_CAP)
+
+
+def inflated(data: bytes, cap: int = SIZE_CAP) -> bytes:
+    """What a gzip file of one or more members holds; never more than the cap is inflated."""
+    out, rest = bytearray(), data
+    while rest:
+        one = zlib.decompressobj(31)
+        out += one.decompress(rest, cap + 1 - len(out))
+        if len(out) > cap:
+            raise FormatError("over the size cap")
+        if not one.eof:
+            raise FormatError("the packed file is cut short")
+        rest = one.unused_data.lstrip(b"\x00")
+    return bytes(out)
+
+
 def _unzipped(entry: str, data: bytes) -> tuple[str, bytes | None, str | None]:
     if entry.lower().endswith(".gz"):
         try:
-            return entry, gzip.decompress(data), None
-        except (OSError, EOFError) as e:
-            return entry, None, str(e)
+            return entry, inflated(data), None
+        except (FormatError, zlib.error) as e:
+            return entry, None, f"{type(e).__name__}: {e}"
     return entry, data, None
 
 
@@ -152,22 +177,54 @@ def bitmaps(entries: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for container, entry, content in zip(batch["container"], batch["entry"], batch["content"], strict=True):
-                kind = image_type(entry)
-                if content is not None and kind in ("D64", "D71", "D81", "D80", "D82", "DNP"):
-                    yield pd.DataFrame([(container, entry, *row) for row in Disk(bytes(content), kind).bam()], columns=["container", "entry", "track", "sector", "is_free"])
+                if (disk := _disk(entry, content)) is not None:
+                    yield pd.DataFrame([(container, entry, *row) for row in disk.bam()], columns=["container", "entry", "track", "sector", "is_free"])
 
     return entries.mapInPandas(run, BAM)
 
 
+def _disk(entry: str, content: bytes | None) -> Disk | None:
+    """The disk that an entry holds; None for others, and for images that can't be one (parse reports them)."""
+    kind = image_type(entry)
+    try:
+        return Disk(bytes(content), kind) if content is not None and kind in _DISKS else None
+    except FormatError:
+        return None
+
+
+def sectors(entries: DataFrame) -> DataFrame:
+    """SECTORS rows: every sector of each disk image with its bytes, in the order of tracks and sectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for container, entry, content in zip(batch["container"], batch["entry"], batch["content"], strict=True):
+                if (disk := _disk(entry, content)) is not None:
+                    rows = [(container, entry, t, s, disk.sector(t, s)) for t, n in enumerate(disk.geometry.sectors, 1) for s in range(n)]
+                    yield pd.DataFrame(rows, columns=["container", "entry", "track", "sector", "data"])
+
+    return entries.mapInPandas(run, SECTORS)
+
+
+def flat(entries: DataFrame) -> DataFrame:
+    """(container, entry, content): a disk's bytes in the order of tracks and sectors, as long as its geometry says; others as they are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            disks = [_disk(e, c) for e, c in zip(batch["entry"], batch["content"], strict=True)]
+            yield batch[["container", "entry"]].assign(content=[c if d is None else d.content[: d.geometry.size] for d, c in zip(disks, batch["content"], strict=True)])
+
+    return entries.select("container", "entry", "content").mapInPandas(run, "container string, entry string, content binary")
+
+
 def used_sectors(files: DataFrame) -> DataFrame:
     """(image, file, track, sector) of parsed files, for the integrity operators."""
     return files.filter("ord >= 0").select(F.concat_ws("@", "container", "entry").alias("image"), F.col("file_path").alias("file"), F.explode("sectors").alias("s")).select("image", "file", "s.track", "s.sector")
 
 
 def unpacked_volumes(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """IMAGES rows of the sets of four or six volumes `1!name`...: siblings of one folder and name are brought together.
+    """ENTRIES rows of the sets of four or six volumes `1!name`...: siblings of one folder and name are brought together.
 
-    A set has at most six files, so a group is small whatever the table's size.
+    A set has at most six files, so a group is small whatever the table's size. A set that lacks a volume or holds a bad one is a row with an error.
     """
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     rows = files.withColumn("_name", name).filter(F.rlike("_name", F.lit(r"^[1-6]!!?.+")))
@@ -175,14 +232,15 @@ def unpacked_volumes(files: DataFrame, path: str = "path", content: str = "conte
 
     def unpack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         folder, rest = key
-        packs = [bytes(c) for c in group.sort_values("n")["content"]]
+        image, error = None, None
         try:
+            packs = [bytes(c) for c in group.sort_values("n")["content"]]
             image = volumes.unpack_six(packs) if rest.startswith("!!") else volumes.unpack_four(packs)
-        except FormatError:
-            return pd.DataFrame(columns=["container", "entry", "content"])
-        return pd.DataFrame([(f"{folder}1{rest}", rest.lstrip("!") + ".d64", image)], columns=["container", "entry", "content"])
+        except (FormatError, IndexError, ValueError, TypeError) as e:
+            error = f"{type(e).__name__}: {e}"
+        return pd.DataFrame([(f"{folder}1{rest}", rest.lstrip("!") + ".d64", image, error)], columns=["container", "entry", "content", "error"])
 
-    return rows.groupBy("folder", "rest").applyInPandas(unpack, IMAGES)
+    return rows.groupBy("folder", "rest").applyInPandas(unpack, ENTRIES)
 
 
 def partitions(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -201,6 +259,23 @@ def _drive_rows(batch: pd.DataFrame, at: int, size: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["path", "number", "name", "type", "type_name", "start", "len"])
 
 
+def partition_table(drives: DataFrame) -> DataFrame:
+    """(path, number, name, type, type_name, start, len) of drives that are held as (path, content); a drive without a table has no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, table in zip(batch["path"], batch["table"], strict=True):
+                try:
+                    rows += [{"path": path, **p} for p in volumes.read_partitions(bytes(table or b""))]
+                except FormatError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "number", "name", "type", "type_name", "start", "len"])
+
+    tables = drives.select("path", F.substring("content", volumes.TABLE + 1, 2 + 256 * 32).alias("table"))
+    return tables.mapInPandas(run, "path string, number int, name string, type int, type_name string, start bigint, len bigint")
+
+
 def partition_bytes(drives: DataFrame) -> DataFrame:
     """(path, number, file_name, content) of drives that are held as (path, content)."""
 

@@ -32,10 +32,11 @@ class Disk:
 
     def __init__(self, content: bytes, kind: str):
         self.kind, self.geometry = kind, of(kind, len(content))
-        if len(content) < self.geometry.size:
-            content = content + bytes(self.geometry.size - len(content))
-        self.content = content
         self.errors: list[str] = []
+        if (missing := self.geometry.size - len(content)) > 0:
+            self.errors.append(f"the image is {missing} bytes short")
+            content = content + bytes(missing)
+        self.content = content
 
     # sectors
 
@@ -339,14 +340,37 @@ class Disk:
                 return out
         raise FormatError("the disk is full")
 
-    def inserted(self, name: str, data: bytes, kind: str = "PRG") -> bytes:
-        """The image with a further file: contents in free sectors, an entry in the first free slot (a new directory sector if there is none)."""
+    def _found(self, path: str) -> dict | None:
+        try:
+            return self.find(path)
+        except FormatError:
+            return None
+
+    def inserted(self, path: str, data: bytes, kind: str = "PRG") -> bytes:
+        """The image with a file: a file that has the path is replaced; `folder/name` goes into that directory, if there is one."""
+        old = self._found(path)
+        if old and old["file_type"] in ("DIR", "CBM"):
+            raise FormatError(f"{path} is a directory")
+        if old:
+            return Disk(self.scratched(old["file_path"]), self.kind)._placed(path, data, kind)
+        return self._placed(path, data, kind)
+
+    def _placed(self, path: str, data: bytes, kind: str) -> bytes:
+        """Contents in free sectors, an entry in the first free slot (a new directory sector if there is none)."""
         if self.cpm():
-            return self._cpm_inserted(name, data)
+            return self._cpm_inserted(path, data)
         g = self.geometry
+        folder, _, name = path.rpartition("/")
+        home = self._found(folder) if folder else None
+        if home and home["file_type"] == "CBM":
+            raise FormatError(f"{folder} is a partition with a bitmap of its own")
+        name = name if home and home["file_type"] == "DIR" else path.lstrip("/")
         raw = name.swapcase().encode("latin-1", "replace")[:16] if name.islower() else name.encode("latin-1", "replace")[:16]
         head = self.sector(*g.head)
         at = (39, 1) if g.name in ("D80", "D82") else (head[0], head[1])
+        if home and home["file_type"] == "DIR":
+            link = self.sector(*home["sectors"][0])
+            at = (link[0], link[1])
         slot, last, seen = None, at, set()
         while at[0] and at not in seen and slot is None:
             seen.add(at)
