@@ -106,6 +106,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _OWN: str | None = None
+#: Seconds between two clean-ups of what finished steps leave behind.
+CLEAN_EVERY = 2.0
+_CLEANED = 0.0
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -115,8 +118,12 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     # Spark deletes the shuffle files and checkpoints of finished steps once the driver's garbage is collected; a thread
-    # of the gateway first has to let go of what Python no longer holds, which it looks for ten times a second
-    gc.collect()
-    time.sleep(0.3)
-    context._jvm.System.gc()
+    # of the gateway first has to let go of what Python no longer holds, which it looks for ten times a second.
+    # Short steps leave little behind and follow one another fast, so this isn't done for each of them
+    global _CLEANED
+    if time.monotonic() - _CLEANED > CLEAN_EVERY:
+        gc.collect()
+        time.sleep(0.3)
+        context._jvm.System.gc()
+        _CLEANED = time.monotonic()
     return df.checkpoint(eager=True)

@@ -115,14 +115,14 @@ def _key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _map(docs: DataFrame, schema: str, row: Callable[[np.ndarray], tuple], lists: int) -> DataFrame:
-    """Maps (id, text) to (id, *row(set)); the last `lists` values are arrays of 64-bit numbers."""
+def _map(docs: DataFrame, schema: str, row: Callable[[str | None, np.ndarray], tuple], lists: int) -> DataFrame:
+    """Maps (id, text) to (id, *row(text, set)); the last `lists` values are arrays of 64-bit numbers."""
     out = pa_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                rows = [row(shingle_set(t)) for t in part.column(1).to_pylist()]
+                rows = [row(t, shingle_set(t)) for t in part.column(1).to_pylist()]
                 columns = [part.column(0).cast(out.field(0).type)]
                 for k, field in enumerate(list(out)[1:]):
                     values = [r[k] for r in rows]
@@ -137,11 +137,16 @@ def _map(docs: DataFrame, schema: str, row: Callable[[np.ndarray], tuple], lists
     return docs.mapInArrow(run, schema)
 
 
-def _signed(shingles: np.ndarray) -> tuple:
-    return len(shingles), _key(shingles), bucket_keys(shingles) if len(shingles) else np.empty(0, np.int64)
+#: Of the columns that a text's hash is for; with this seed it equals Spark's own xxhash64 of the text.
+_SEED = 42
 
 
-def _sets(shingles: np.ndarray) -> tuple:
+def _signed(text: str | None, shingles: np.ndarray) -> tuple:
+    hashed = np.uint64(xxhash.xxh64_intdigest((text or "").encode(), _SEED)).view(np.int64).item()
+    return len(shingles), hashed, _key(shingles), bucket_keys(shingles) if len(shingles) else np.empty(0, np.int64)
+
+
+def _sets(text: str | None, shingles: np.ndarray) -> tuple:
     return _key(shingles), shingles.view(np.int64)
 
 
@@ -226,8 +231,32 @@ def meetings(front: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row in."""
+    out = _grouped(docs, id_col, text_col, percent)
+    component = F.coalesce("label.id", F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows, with all their columns, of one document of each group: the smallest id's, and among texts that share it the one with the smallest hash.
+
+    Rows are judged by id and text: different texts under one id belong each to its own group. Of rows with equal id and text
+    the one with the smallest further columns stays. Texts without words are in no group and stay, as do all rows without an id.
+    """
+    out = _grouped(docs, id_col, text_col, percent).filter("id is not null")
+    first = out.filter("label is not null").groupBy("label").agg(F.min(F.struct("id", "th")).alias("x")).select("x.id", "x.th")
+    stay = cut(first.unionByName(out.filter("label is null").select("id", "th")).distinct())
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    rows = docs.filter(F.col(id_col).isNotNull()).withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    # equal rows become one before the shuffle, so that no row's copies gather; the join then finds both sides dealt by its keys
+    single = rows.groupBy(F.col(id_col).cast("bigint").alias("_id"), "_th").agg(F.min(F.struct(*others, id_col, text_col)).alias("_row"))
+    kept = single.join(stay, (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th")), "left_semi").select("_row.*")
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(id, n, th, label) of each row: th hashes the text, label names its group; null for rows without words or id."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    base = cut(_map(texts, "id bigint, n bigint, key binary, bands array<bigint>", _signed, 1))
+    base = cut(_map(texts, "id bigint, n bigint, th bigint, key binary, bands array<bigint>", _signed, 1))
     full = base.filter((F.col("n") > 0) & F.col("id").isNotNull())
     nodes = cut(full.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     names = nodes.select("node", "id")
@@ -255,7 +284,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         labels = components(links.union(more), names)
 
-    named = nodes.select("key", "node", "id").join(labels, "node", "left").select("key", F.coalesce(F.col("label.id"), F.col("id")).alias("component"))
+    named = nodes.select("key", "node", "id").join(labels, "node", "left").select("key", F.coalesce("label", F.struct("id", "node")).alias("group"))
     out = base.drop("bands").join(named, "key", "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", "n", "th", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("group")).alias("label"))

@@ -118,6 +118,16 @@ def test_very_large_sets_keep_their_resemblance(monkeypatch):
     assert np.intersect1d(N.bucket_keys(small), N.bucket_keys(large)).size
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows are judged by id and text: no text goes because another one has its id, and a group keeps exactly one row."""
+    a, b, c = "one two three four five", "other words in here now", "quite another text that stands alone"
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "w"), (2, a, "x"), (3, c, "x"), (3, c, "x"), (4, b + " ", "x"), (5, "", "x"), (5, None, "x"), (6, "é é é é", "x"), (None, a, "x"), (None, a, "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted(((r["doc_id"], r["text"], r["source"]) for r in N.one_of_each(docs).collect()), key=str)
+    assert got == sorted([(1, a, "x"), (1, b, "w"), (3, c, "x"), (5, None, "x"), (6, "é é é é", "x"), *rows[-3:]], key=str)
+    assert N.one_of_each(docs).columns == docs.columns and N.one_of_each(docs.filter("doc_id = 99")).count() == 0
+
+
 def test_repeated_rows_nulls_and_emptiness(spark):
     docs = documents(spark, ["one two three four five", "other words in here now"], extra=[(0, "one two three four five"), (None, "one two three four five"), (7, None), (8, "")])
     rows = by_id(N.near_duplicates(docs))
