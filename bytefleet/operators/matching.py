@@ -159,6 +159,35 @@ def containment(pairs: DataFrame, first: DataFrame, second: DataFrame, container
     a, b = first.select(F.col("id").alias("id1"), F.col(container).alias("container1")), second.select(F.col("id").alias("id2"), F.col(container).alias("container2"))
     joined = pairs.filter("equal").join(a, "id1").join(b, "id2")
     counts = joined.groupBy("container1", "container2").agg(F.count("*").alias("pairs"), F.count_distinct("id1").alias("files"))
+    return _with_sizes(counts, first, container)
+
+
+def exact_classes(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(side, id, class_id, links) of every file of two relations (id, digest, text): the pairs of equal contents, without a row for each pair.
+
+    Files of equal contents are one class, named by the least id of the first side, or else of the second; links counts
+    the equal files of the other side. A file without payload, or without a digest, is in no class and has no links.
+    """
+    sides = [df.select(F.lit(n).alias("side"), "id", F.when(F.octet_length("text") > 0, F.col("digest")).alias("d")) for n, df in ((1, first), (2, second))]
+    files = sides[0].unionByName(sides[1])
+    on = [F.col("side") == n for n in (1, 2)]
+    least = [F.min(F.when(s, F.col("id"))) for s in on]
+    classes = files.filter("d is not null").groupBy("d").agg(F.coalesce(*least).alias("class_id"), *(F.count_if(s).alias(f"n{k}") for k, s in enumerate(on, 1)))
+    links = F.coalesce(F.when(on[0], F.col("n2")).otherwise(F.col("n1")), F.lit(0))
+    return files.join(classes, "d", "left").select("side", "id", "class_id", links.alias("links"))
+
+
+def exact_containment(first: DataFrame, second: DataFrame, container: str) -> DataFrame:
+    """What `containment` gives for pairs of equal contents: equal files of a container are counted before containers meet, so that no pair of files is made."""
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        return df.filter(F.octet_length("text") > 0).groupBy("digest", F.col(container).alias(f"container{n}")).agg(F.count("*").alias(f"n{n}"))
+
+    met = side(first, 1).join(side(second, 2), "digest").groupBy("container1", "container2")
+    return _with_sizes(met.agg(F.sum(F.col("n1") * F.col("n2")).alias("pairs"), F.sum("n1").alias("files")), first, container)
+
+
+def _with_sizes(counts: DataFrame, first: DataFrame, container: str) -> DataFrame:
     sizes = first.filter(~F.col("is_dir")).groupBy(F.col(container).alias("container1")).agg(F.count("*").alias("num_files"))
     return counts.join(sizes, "container1").withColumn("full", F.col("pairs") >= F.col("num_files"))
 

@@ -92,6 +92,14 @@ def match_exact_pairs(spark, sf_dir):
     return matching.classify(*_collections(spark, sf_dir)).filter("equal").select("id1", "id2", "label")
 
 
+def match_exact_classes(spark, sf_dir):
+    return matching.exact_classes(*_collections(spark, sf_dir))
+
+
+def compare_moved_classes(spark, sf_dir):
+    return compare.moved_classes(_whole_disk(spark, sf_dir, True), _whole_disk(spark, sf_dir, False))
+
+
 def match_diff_same_name(spark, sf_dir):
     o = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.md5(F.col("s_acctbal").cast("string")).alias("digest"), F.col("s_name").alias("text"))
     return matching.classify(o, o.withColumn("digest", F.concat(F.lit("x"), "digest")))
@@ -99,12 +107,13 @@ def match_diff_same_name(spark, sf_dir):
 
 def match_summary(spark, sf_dir):
     a, b = _collections(spark, sf_dir)
-    return matching.summary(matching.classify(a, b), a, "container")
+    hits = matching.exact_classes(a, b).filter("side = 1")
+    return matching.summary(hits.select(F.col("id").alias("id1"), (F.col("links") > 0).alias("equal")), a, "container")
 
 
 def full_containment(spark, sf_dir):
     a, b = _collections(spark, sf_dir)
-    return matching.containment(matching.classify(a, b), a, b, "container")
+    return matching.exact_containment(a, b, "container")
 
 
 def running_match_pct(spark, sf_dir):
@@ -170,7 +179,7 @@ def file_issues(spark, sf_dir):
 _KINDS = ("differs", "moved", "missing1", "missing2")
 QUERIES = {f"compare_all_{k}": _found(k) for k in _KINDS} | {
     f.__name__: f
-    for f in (dup_groups, coverage_by_dir, coverage_missing, unknown_files, first_partner, collision_suffix, approx_pairs, match_classes, match_exact_pairs, match_diff_same_name, match_summary, full_containment, running_match_pct, alloc_check, alloc_counts, alloc_repair, affected_files, free_by_track, total_free, cross_links, free_blocks, file_issues)
+    for f in (dup_groups, coverage_by_dir, coverage_missing, unknown_files, first_partner, collision_suffix, approx_pairs, match_classes, match_exact_pairs, match_exact_classes, compare_moved_classes, match_diff_same_name, match_summary, full_containment, running_match_pct, alloc_check, alloc_counts, alloc_repair, affected_files, free_by_track, total_free, cross_links, free_blocks, file_issues)
 }
 
 _DISK = """SELECT cell || '/' || row_number() OVER (PARTITION BY cell ORDER BY doc_id, digest) AS path, name, type, size, digest FROM (SELECT concat_ws('/', CAST(CAST(floor(CAST(substr(image, 4, 5) AS INTEGER) / 2) AS BIGINT) AS VARCHAR), lang, CAST(CAST(floor(doc_id / 20) AS BIGINT) AS VARCHAR), file_type) AS cell, doc_id, lang AS name, file_type AS type, octet_length(data) AS size, sha256(text) AS digest FROM f WHERE CAST(substr(image, 4, 5) AS INTEGER) % 2 = {})"""
@@ -205,6 +214,8 @@ ORACLE_SQL = {
     "compare_all_moved": f"{_DISKS} SELECT 'moved' AS kind, {_PAIR} FROM o1 a JOIN o2 b ON {_SAME}",
     "compare_all_missing1": f"{_DISKS} SELECT 'missing1' AS kind, CAST(NULL AS VARCHAR) AS path1, b.path AS path2, CAST(NULL AS VARCHAR) AS type1, b.type AS type2, CAST(NULL AS BIGINT) AS size1, b.size AS size2 FROM o2 b WHERE NOT EXISTS (SELECT 1 FROM o1 a WHERE {_SAME})",
     "compare_all_missing2": f"{_DISKS} SELECT 'missing2' AS kind, a.path AS path1, CAST(NULL AS VARCHAR) AS path2, a.type AS type1, CAST(NULL AS VARCHAR) AS type2, a.size AS size1, CAST(NULL AS BIGINT) AS size2 FROM o1 a WHERE NOT EXISTS (SELECT 1 FROM o2 b WHERE {_SAME})",
+    "compare_moved_classes": f"""{_DISKS}, u AS (SELECT 1 AS side, * FROM o1 UNION ALL SELECT 2, * FROM o2), c AS (SELECT {up('name')} AS k, digest AS d, min(path) FILTER (side = 1) AS class_path, count(*) FILTER (side = 1) AS n1, count(*) FILTER (side = 2) AS n2 FROM u GROUP BY ALL)
+SELECT side, path, type, size, class_path, CASE side WHEN 1 THEN n2 ELSE n1 END AS links FROM u JOIN c ON {up('u.name')} = k AND digest = d WHERE n1 > 0 AND n2 > 0""",
     "dup_groups": f"{_CAT} SELECT hash, length, count(*) AS n_files, min(path) AS first_path FROM c GROUP BY ALL HAVING count(*) >= 2",
     "coverage_by_dir": f"{_CAT}, d AS (SELECT DISTINCT hash, length FROM k) SELECT dir, count(*) AS total, count(d.hash) AS matches, CAST(floor(100.0 * count(d.hash) / count(*) + 0.5) AS BIGINT) AS pct FROM p LEFT JOIN d ON p.hash = d.hash AND p.length = d.length GROUP BY dir",
     "coverage_missing": f"{_CAT}, kk AS (SELECT DISTINCT upper(sha256(text)) AS hash, octet_length(data) AS length FROM f WHERE lang <> 'es'), r AS (SELECT c.dir, c.path, kk.hash IS NOT NULL AS ok FROM c LEFT JOIN kk ON c.hash = kk.hash AND c.length = kk.length), g AS (SELECT dir FROM r GROUP BY dir HAVING floor(100.0 * count(*) FILTER (ok) / count(*) + 0.5) > 90) SELECT dir, path FROM r WHERE NOT ok AND dir IN (SELECT dir FROM g)",
@@ -217,6 +228,8 @@ r AS (SELECT id1, id2, true AS equal, CAST(0 AS BIGINT) AS approx, 1 AS rank FRO
 t AS (SELECT id1, id2, equal, approx, row_number() OVER (PARTITION BY id1, id2 ORDER BY rank) AS n FROM r)
 SELECT id1, id2, CASE WHEN equal AND approx = 0 THEN 'MATCH' WHEN equal THEN 'M-' || approx || '%' WHEN approx > 0 THEN rpad(approx || '%', CAST(greatest(5, length(approx || '%')) AS INTEGER), ' ') ELSE 'DIFF' END AS label, equal, approx FROM t WHERE n = 1""",
     "match_exact_pairs": f"WITH {DOCUMENTS_SQL} SELECT a.doc_id AS id1, b.doc_id AS id2, 'MATCH' AS label FROM f a JOIN f b ON a.text = b.text AND octet_length(a.data) > 0 WHERE CAST(substr(a.image, 4, 5) AS INTEGER) % 2 = 0 AND CAST(substr(b.image, 4, 5) AS INTEGER) % 2 = 1",
+    "match_exact_classes": f"""WITH {DOCUMENTS_SQL}, s AS (SELECT 1 + CAST(substr(image, 4, 5) AS INTEGER) % 2 AS side, doc_id AS id, CASE WHEN octet_length(data) > 0 THEN text END AS t FROM f), c AS (SELECT t, coalesce(min(id) FILTER (side = 1), min(id)) AS class_id, count(*) FILTER (side = 1) AS n1, count(*) FILTER (side = 2) AS n2 FROM s WHERE t IS NOT NULL GROUP BY t)
+SELECT side, id, class_id, coalesce(CASE side WHEN 1 THEN n2 ELSE n1 END, 0) AS links FROM s LEFT JOIN c USING (t)""",
     "match_diff_same_name": "SELECT a.s_suppkey AS id1, b.s_suppkey AS id2, 'DIFF' AS label, false AS equal, CAST(0 AS BIGINT) AS approx FROM supplier a JOIN supplier b ON a.s_name = b.s_name",
     "match_summary": f"{_EQUAL} SELECT image AS container, count(*) AS num_files, count(*) FILTER (doc_id IN (SELECT id1 FROM e)) AS matched_anywhere FROM f WHERE CAST(substr(image, 4, 5) AS INTEGER) % 2 = 0 AND NOT coalesce(lang = 'es', false) GROUP BY image",
     "full_containment": f"{_EQUAL}, g AS (SELECT c1 AS container1, c2 AS container2, count(*) AS pairs, count(DISTINCT id1) AS files FROM e GROUP BY ALL) SELECT g.*, num_files, pairs >= num_files AS \"full\" FROM g JOIN (SELECT image, count(*) AS num_files FROM f WHERE NOT coalesce(lang = 'es', false) GROUP BY image) ON image = container1",

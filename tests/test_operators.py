@@ -2,6 +2,7 @@
 
 import itertools
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -122,6 +123,41 @@ def test_compare_two_disks(spark):
     assert got == [("differs", "/diff", "/diff"), ("missing1", "", "/come"), ("missing2", "/gone", ""), ("moved", "/old/m", "/new/M")]
 
 
+def test_moved_classes_hold_what_the_pairs_say(spark):
+    schema = "path string, name string, type string, size bigint, digest string"
+    side = [("/both", "both", "PRG", 1, "x"), *((f"/{k}/c", "c", "PRG", 2, "c") for k in range(3)), ("/n", "n", "DIR", 0, None), ("/unnamed", None, "PRG", 1, "u"), ("/gone", "gone", "PRG", 1, "g")]
+    other = [("/both", "both", "PRG", 1, "x"), *((f"/{k}/C", "C", "PRG", 2, "c") for k in range(2)), ("/N", "N", "DIR", 0, None), ("/Unnamed", None, "PRG", 1, "u")]
+    a, b = spark.createDataFrame(side, schema), spark.createDataFrame(other, schema)
+    pairs = [(r["path1"], r["path2"]) for r in compare.compare(a, b).filter("kind = 'moved'").collect()]
+    rows = compare.moved_classes(a, b).collect()
+    for n in (1, 2):
+        links = Counter(p[n - 1] for p in pairs)
+        assert links and {r["path"]: r["links"] for r in rows if r["side"] == n} == links
+    named = {(r["side"], r["path"]): r["class_path"] for r in rows}
+    assert {(p, q) for (s, p), c in named.items() for (t, q), d in named.items() if s == 1 and t == 2 and c == d} == set(pairs)
+    assert len(rows) == len(named) and compare.moved_classes(a.limit(0), b).count() == 0
+
+
+def test_exact_classes_and_containment_hold_what_the_pairs_say(spark):
+    schema = "id bigint, container string, is_dir boolean, name string, digest string, text string"
+    first = [(k, f"d{k % 3}", k == 4, f"n{k}", f"h{k % 4}", "t") for k in range(12)] + [(20, "d0", False, "e", "empty", ""), (21, "d1", False, "z", None, None), (22, None, False, "q", "h1", "t")]
+    second = [(k, f"x{k % 2}", False, f"m{k}", f"h{k % 5}", "t") for k in range(30, 40)] + [(50, "x0", False, "e2", "empty", "")]
+    a, b = spark.createDataFrame(first, schema), spark.createDataFrame(second, schema)
+    pairs = matching.classify(a, b)
+    equal = [(r["id1"], r["id2"]) for r in pairs.filter("equal").collect()]
+    rows = matching.exact_classes(a, b).collect()
+    assert len(rows) == len(first) + len(second)
+    for n in (1, 2):
+        links = Counter(p[n - 1] for p in equal)
+        assert {r["id"]: r["links"] for r in rows if r["side"] == n and r["links"]} == links
+    classes = {(r["side"], r["id"]): r["class_id"] for r in rows if r["class_id"] is not None}
+    assert {(p, q) for (s, p), c in classes.items() for (t, q), d in classes.items() if s == 1 and t == 2 and c == d} == set(equal)
+    assert classes[2, 34] == 34 and (1, 20) not in classes and (1, 21) not in classes
+    whole = sorted(map(tuple, matching.containment(pairs, a, b, "container").collect()))
+    assert whole and sorted(map(tuple, matching.exact_containment(a, b, "container").collect())) == whole
+    assert matching.exact_containment(a, b.limit(0), "container").count() == 0
+
+
 def test_coverage(spark):
     rows = [(f"d/{n}", "d", n, f"h{n}") for n in range(20)] + [("e/0", "e", 1, "zz")]
     probe = spark.createDataFrame(rows, "path string, dir string, length bigint, hash string")
