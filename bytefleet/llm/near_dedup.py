@@ -246,9 +246,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = out.filter("label is not null").groupBy("label").agg(F.min(F.struct("id", "th")).alias("x")).select("x.id", "x.th")
     stay = cut(first.unionByName(out.filter("label is null").select("id", "th")).distinct())
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    rows = docs.filter(F.col(id_col).isNotNull()).withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows, hashed = docs.filter(F.col(id_col).isNotNull()), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     # equal rows become one before the shuffle, so that no row's copies gather; the join then finds both sides dealt by its keys
-    single = rows.groupBy(F.col(id_col).cast("bigint").alias("_id"), "_th").agg(F.min(F.struct(*others, id_col, text_col)).alias("_row"))
+    single = rows.groupBy(F.col(id_col).cast("bigint").alias("_id"), hashed.alias("_th")).agg(F.min(F.struct(*others, id_col, text_col)).alias("_row"))
     kept = single.join(stay, (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th")), "left_semi").select("_row.*")
     return kept.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
 

@@ -128,6 +128,12 @@ def test_one_row_of_each_group_stays(spark):
     assert N.one_of_each(docs).columns == docs.columns and N.one_of_each(docs.filter("doc_id = 99")).count() == 0
 
 
+def test_one_of_each_keeps_further_columns_of_any_name(spark):
+    words = "a b c d e f g h"
+    docs = spark.createDataFrame([(1, words, 5, "p", 7), (2, words, 6, "q", 8), (None, words, 7, "r", 9)], "doc_id bigint, text string, _th int, label string, id int")
+    assert sorted(map(tuple, N.one_of_each(docs).collect()), key=str) == sorted([(1, words, 5, "p", 7), (None, words, 7, "r", 9)], key=str)
+
+
 def test_repeated_rows_nulls_and_emptiness(spark):
     docs = documents(spark, ["one two three four five", "other words in here now"], extra=[(0, "one two three four five"), (None, "one two three four five"), (7, None), (8, "")])
     rows = by_id(N.near_duplicates(docs))
