@@ -42,9 +42,9 @@ DEPTH, GRAM, BLOCK = 200, 48, 16
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Windows that are looked at together; a run ends where a stretch does, which the later digits make good.
-_STRETCH_BITS = 21
+_STRETCH_BITS = 18
 #: Bytes that a worker hashes at a time.
-SLICE = 1 << 20
+SLICE = 1 << _STRETCH_BITS
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -57,7 +57,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return worker_state("suffix_dedup", _STRETCH_BITS, _make_tables)
 
 
-def _make_tables(size: int = (1 << _STRETCH_BITS) + 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _make_tables(size: int = (1 << _STRETCH_BITS) + (1 << 16)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     up, down = np.full(size, _BASE, _U), np.full(size, pow(_BASE, -1, 1 << 64), _U)
     up[0] = down[0] = 1
     of_byte = np.random.default_rng(20260102).integers(0, 1 << 63, 256, dtype=_U) * _U(2) + _U(1)
@@ -113,16 +113,23 @@ def without(data: bytes, spans: np.ndarray) -> bytes:
     return b"".join(data[a:b] for a, b in zip(np.append(0, spans[:, 1]).tolist(), np.append(spans[:, 0], len(data)).tolist(), strict=True))
 
 
-def _arrow(df: DataFrame, schema: str, rows, text: int) -> DataFrame:
-    """Maps batches to the columns that `rows` makes of them, slice by slice of about SLICE bytes in column `text`."""
-    out = pa_schema(schema)
+def _arrow(df: DataFrame, *steps: tuple) -> DataFrame:
+    """Maps batches through steps (schema, rows, text), one after the other in one worker: `rows` makes the schema's columns of a slice
+    of about SLICE bytes in column `text`."""
+    typed = [(pa_schema(schema), rows, text) for schema, rows, text in steps]
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, text, SLICE):
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(rows(part), out, strict=True)], schema=out)
+        for out, rows, text in typed:
+            batches = _mapped(batches, out, rows, text)
+        return batches
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, steps[-1][0])
+
+
+def _mapped(batches: Iterator[pa.RecordBatch], out: pa.Schema, rows, text: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, text, SLICE):
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(rows(part), out, strict=True)], schema=out)
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -193,18 +200,18 @@ def _by_runs(texts: DataFrame, depth: int, gram: int) -> DataFrame:
                 found.append((d1, d2, np.full(len(d1), rid), np.full(len(d1), th), _place(start, anchor - start, count)))
         return _join_parts(found, 5)
 
-    rows = _arrow(texts, "d1 bigint, d2 bigint, rid bigint, th bigint, place bigint", cut_runs, 1)
+    rows = _arrow(texts, ("d1 bigint, d2 bigint, rid bigint, th bigint, place bigint", cut_runs, 1))
     anchors = cut(rows.groupBy("d1").agg(F.count("*").alias("n")).filter("n > 1").select("d1"))
     marked = _pass(cut(rows.join(anchors, "d1", "left_semi")), ["d1"], "d2")
     to_refine = F.when(F.col("open"), F.struct("d1", F.col("once").alias("alone"), "place"))
     # sets, so that the many copies of a text add nothing to its one list, before the shuffle as after it
     listed = marked.groupBy("rid", "th").agg(F.collect_set(F.when(F.col("settled"), F.col("place"))).alias("settled"), F.collect_set(to_refine).alias("open"))
-    identified = _arrow(texts, "rid bigint, th bigint, text string", lambda part: (*_identities(part.column(1).to_pylist()), part.column(1)), 1)
+    identified = _arrow(texts, ("rid bigint, th bigint, text string", lambda part: (*_identities(part.column(1).to_pylist()), part.column(1)), 1))
     return cut(identified.groupBy("rid", "th").agg(F.first("text").alias("text")).join(listed, ["rid", "th"]))
 
 
-def _pieces(work: DataFrame, depth: int) -> DataFrame:
-    """The bytes of the runs to refine."""
+def _pieces(depth: int) -> tuple:
+    """The step from texts with their open runs to the bytes of the runs to refine."""
 
     def cut_out(part):
         data, texts = _bytes(part.column(2))
@@ -219,13 +226,13 @@ def _pieces(work: DataFrame, depth: int) -> DataFrame:
         pieces = pa.Array.from_buffers(pa.binary(), len(sizes), [None, cuts.buffers()[1], pa.py_buffer(raw.tobytes())])
         return found.field("d1"), np.asarray(part.column(0))[owner], np.asarray(part.column(1))[owner], place, found.field("alone"), pieces
 
-    open_texts = work.filter(F.size("open") > 0).select("rid", "th", "text", "open")
-    return _arrow(open_texts, "d1 bigint, rid bigint, th bigint, place bigint, alone boolean, bytes binary", cut_out, 2)
+    return "d1 bigint, rid bigint, th bigint, place bigint, alone boolean, bytes binary", cut_out, 2
 
 
-def _by_blocks(pieces: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+def _by_blocks(work: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """Digit 3: (rid, th, place) of blocks of single runs that are settled, and (d1, rid, th, alone, starts, digits) of the windows that go on."""
     size = min(BLOCK, depth)  # so that a block's windows have a core
+    open_texts = work.filter(F.size("open") > 0).select("rid", "th", "text", "open")
 
     def blocks_of(part):
         data, places = _bytes(part.column(5))
@@ -243,7 +250,7 @@ def _by_blocks(pieces: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
         return np.asarray(part.column(0))[run], core.view(np.int64), whole.view(np.int64), *(np.asarray(part.column(c))[run] for c in (1, 2, 3)), block, part.column(4).take(pa.array(run)), own
 
     schema = "d1 bigint, core bigint, whole bigint, rid bigint, th bigint, place bigint, block bigint, alone boolean, own bigint"
-    marked = cut(_pass(_arrow(pieces, schema, blocks_of, 5), ["d1", "core"], "whole").filter("(settled and alone) or open"))
+    marked = cut(_pass(_arrow(open_texts, _pieces(depth), (schema, blocks_of, 5)), ["d1", "core"], "whole").filter("(settled and alone) or open"))
     settled = marked.filter("settled and alone").select("rid", "th", F.col("own").alias("place"))
     hit = marked.filter("open").groupBy("rid", "th", "place", (F.col("alone") & F.col("once")).alias("wanted")).agg(F.collect_set("block").alias("blocks"))
 
@@ -260,8 +267,8 @@ def _by_blocks(pieces: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
         lists = pa.ListArray.from_arrays(ends, pa.array((start[run] + at).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(digits))
         return part.column(0), part.column(1), part.column(2), part.column(4), *lists
 
-    joined = pieces.drop("alone").join(hit, ["rid", "th", "place"]).select("d1", "rid", "th", "place", F.col("wanted").alias("alone"), "bytes", "blocks")
-    return settled, cut(_arrow(joined, "d1 bigint, rid bigint, th bigint, alone boolean, starts array<int>, digits array<bigint>", windows_of, 5))
+    joined = _arrow(open_texts, _pieces(depth)).drop("alone").join(hit, ["rid", "th", "place"]).select("d1", "rid", "th", "place", F.col("wanted").alias("alone"), "bytes", "blocks")
+    return settled, cut(_arrow(joined, ("d1 bigint, rid bigint, th bigint, alone boolean, starts array<int>, digits array<bigint>", windows_of, 5)))
 
 
 def _by_windows(packed: DataFrame) -> DataFrame:
@@ -285,10 +292,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return part.column(0), *_identities([t.decode() for t in data]), [len(t) for t in data], [hashlib.sha256(t).hexdigest() for t in data]
 
     work = _by_runs(texts.filter(F.octet_length("text") >= depth), depth, gram)
-    settled, packed = _by_blocks(_pieces(work, depth), depth)
+    settled, packed = _by_blocks(work, depth)
     more = cut(settled.unionAll(_by_windows(packed)).groupBy("rid", "th").agg(F.collect_list("place").alias("more")))
     del settled, packed
-    base = _arrow(texts, "id bigint, rid bigint, th bigint, n_bytes bigint, sha256 string", describe, 1)
+    base = _arrow(texts, ("id bigint, rid bigint, th bigint, n_bytes bigint, sha256 string", describe, 1))
     return base, work.drop("open").join(more, ["rid", "th"], "left")
 
 
@@ -307,7 +314,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append((int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(without(data[texts[k] : texts[k + 1]].tobytes(), spans)).hexdigest()))
         return part.column(0), part.column(1), *([list(c) for c in zip(*out, strict=True)] if out else [[], [], []])
 
-    cut_down = cut(_arrow(found, "rid bigint, th bigint, n_removed bigint, n_spans bigint, kept_sha256 string", removed, 2))
+    cut_down = cut(_arrow(found, ("rid bigint, th bigint, n_removed bigint, n_spans bigint, kept_sha256 string", removed, 2)))
     return base.join(cut_down, ["rid", "th"], "left").select(
         F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256")
     )
