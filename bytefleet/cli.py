@@ -60,7 +60,7 @@ def run_compare(spark, a) -> DataFrame:
 
 def run_match(spark, a) -> DataFrame:
     one, two = (contents(files_in(spark, p, depth=a.depth, mask=a.mask, exclude=tuple(a.exclude or ()))).withColumn("name", F.col("file_name")) for p in (a.first, a.second))
-    return matching.classify(one, two, a.approximate, place="container")
+    return matching.classify(one, two, a.approximate, place="container", binary=True)
 
 
 def run_duplicates(spark, a) -> DataFrame:

@@ -30,17 +30,40 @@ def sliding_grams(text: Column) -> Column:
     return F.when(n >= 8, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
 
 
-def scores(first: DataFrame, second: DataFrame, id1: str, id2: str, text1: str = "text", text2: str = "text") -> DataFrame:
+def _signed(grams: Column, text: Column) -> Column:
+    """Grams of single-byte characters as the 64-bit numbers that signed bytes give when each is or-ed to those before it, shifted: a byte over 127 sets all before it."""
+    one = lambda g: F.lpad(F.regexp_replace(g, r"(?s)^.*(?=[\x{80}-\x{FF}])", ""), 8, "\u00ff")
+    return F.when(F.rlike(text, F.lit(r"[\x{80}-\x{FF}]")), F.array_distinct(F.transform(grams, one))).otherwise(grams)
+
+
+def byte_blocks(text: Column) -> Column:
+    """`block_grams` of a binary payload, held as text of single-byte characters, by the rule for signed bytes."""
+    return _signed(block_grams(text), text)
+
+
+def byte_windows(text: Column) -> Column:
+    """`sliding_grams` of a binary payload by the rule for signed bytes; before there are eight bytes, the first ones behind zeros."""
+    n = F.char_length(text)
+    starts = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(7))), lambda k: F.lpad(F.left(text, k), 8, "\u0000"))
+    return _signed(F.when(n > 0, F.array_distinct(F.concat(starts, sliding_grams(text)))).otherwise(F.array().cast("array<string>")), text)
+
+
+def _rule(binary: bool) -> tuple:
+    """Blocks, windows and size of payloads: texts, or bytes held as text of single-byte characters."""
+    return (byte_blocks, byte_windows, F.char_length) if binary else (block_grams, sliding_grams, F.octet_length)
+
+
+def scores(first: DataFrame, second: DataFrame, id1: str, id2: str, text1: str = "text", text2: str = "text", binary: bool = False) -> DataFrame:
     """(id1, id2, score) of all pairs with a score over 0, by shared grams: floor(30 lp p1 p2 + 35 p1 + 35 p2 + 0.5).
 
-    p1 is the share of the first one's distinct blocks that occur anywhere in the second, p2 the reverse, lp the ratio of sizes. A pair
-    without a common gram scores 0, so the gram joins are complete. Equal grams are joined by hash; a frequent
-    gram is left to adaptive skew handling, as dropping it would change scores.
+    p1 is the share of the first one's distinct blocks that occur anywhere in the second (0 without blocks), p2 the reverse, lp the ratio of
+    sizes. A pair without a common gram scores 0, so the gram joins are complete. Equal grams are joined by hash; a frequent
+    gram is left to adaptive skew handling, as dropping it would change scores. `binary`: texts are bytes, grams are numbers of signed bytes.
     """
-
-    ct1 = _exploded(first, id1, text1, "i1", block_grams).join(_exploded(second, id2, text2, "i2", sliding_grams), "gram").groupBy("i1", "i2").agg(F.count("*").alias("ct1"))
-    ct2 = _exploded(second, id2, text2, "i2", block_grams).join(_exploded(first, id1, text1, "i1", sliding_grams), "gram").groupBy("i1", "i2").agg(F.count("*").alias("ct2"))
-    rows = ct1.join(ct2, ["i1", "i2"], "full").join(_sizes(first, id1, text1, 1), "i1").join(_sizes(second, id2, text2, 2), "i2").filter("blocks1 > 0 and blocks2 > 0")
+    blocks, windows, _ = _rule(binary)
+    ct1 = _exploded(first, id1, text1, "i1", blocks).join(_exploded(second, id2, text2, "i2", windows), "gram").groupBy("i1", "i2").agg(F.count("*").alias("ct1"))
+    ct2 = _exploded(second, id2, text2, "i2", blocks).join(_exploded(first, id1, text1, "i1", windows), "gram").groupBy("i1", "i2").agg(F.count("*").alias("ct2"))
+    rows = ct1.join(ct2, ["i1", "i2"], "full").join(_sizes(first, id1, text1, 1, binary), "i1").join(_sizes(second, id2, text2, 2, binary), "i2")
     return _scored(rows).filter("score > 0")
 
 
@@ -48,30 +71,31 @@ def _exploded(df: DataFrame, key: str, text: str, name: str, grams) -> DataFrame
     return df.select(F.col(key).alias(name), F.explode(grams(F.col(text))).alias("gram"))
 
 
-def _sizes(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    return df.select(F.col(key).alias(f"i{n}"), F.octet_length(text).alias(f"size{n}"), F.size(block_grams(F.col(text))).alias(f"blocks{n}"))
+def _sizes(df: DataFrame, key: str, text: str, n: int, binary: bool) -> DataFrame:
+    blocks, _, size = _rule(binary)
+    return df.select(F.col(key).alias(f"i{n}"), size(F.col(text)).alias(f"size{n}"), F.size(blocks(F.col(text))).alias(f"blocks{n}"))
 
 
 def _scored(rows: DataFrame) -> DataFrame:
-    # a filter on blocks may be evaluated after this
-    p1, p2 = F.try_divide(F.coalesce("ct1", F.lit(0)), F.col("blocks1")), F.try_divide(F.coalesce("ct2", F.lit(0)), F.col("blocks2"))
+    p1, p2 = (F.coalesce(F.try_divide(F.coalesce(f"ct{n}", F.lit(0)), F.col(f"blocks{n}")), F.lit(0.0)) for n in (1, 2))
     lp = F.try_divide(F.least("size1", "size2"), F.greatest("size1", "size2"))
     return rows.select(F.col("i1").alias("id1"), F.col("i2").alias("id2"), round_half_up(lp * p1 * p2 * 30 + p1 * 35 + p2 * 35).alias("score"))
 
 
-def contenders(first: DataFrame, second: DataFrame, least: int) -> DataFrame:
+def contenders(first: DataFrame, second: DataFrame, least: int, binary: bool = False) -> DataFrame:
     """(i1, i2) of the pairs of (id, text) that can reach the score; none that does is missed.
 
     With m the greater of p1 and p2 a score is 30 m^2 + 70 m at most, so one of the two has a least share. A file of n blocks that
     shares that many with the other side shares one of its first n - ceil(m n) + 1, whatever their order: blocks are ordered by
     how many files of the other side have them, rarest first, so that the grams which very many files share are hardly ever joined.
     """
+    grams, all_windows, _ = _rule(binary)
     m = (math.sqrt(4900 + 120 * (least - 0.5)) - 70) / 60 - 1e-9
 
     def one(blocks_of: DataFrame, windows_of: DataFrame, i: str, j: str) -> DataFrame:
-        windows = _exploded(windows_of, "id", "text", j, sliding_grams)
+        windows = _exploded(windows_of, "id", "text", j, all_windows)
         times = windows.groupBy("gram").agg(F.count("*").alias("times"))
-        blocks = blocks_of.select(F.col("id").alias(i), block_grams(F.col("text")).alias("g")).select(i, F.size("g").alias("n"), F.explode("g").alias("gram"))
+        blocks = blocks_of.select(F.col("id").alias(i), grams(F.col("text")).alias("g")).select(i, F.size("g").alias("n"), F.explode("g").alias("gram"))
         order = Window.partitionBy(i).orderBy("times", "gram")  # the blocks of one file
         ranked = blocks.join(times, "gram", "left").withColumn("times", F.coalesce("times", F.lit(0))).withColumn("place", F.row_number().over(order))
         front = ranked.filter(F.col("place") <= F.col("n") - F.greatest(F.ceil(F.col("n") * m), F.lit(1)) + 1).filter("times > 0").select(i, "gram")
@@ -80,16 +104,17 @@ def contenders(first: DataFrame, second: DataFrame, least: int) -> DataFrame:
     return one(first, second, "i1", "i2").unionByName(one(second, first, "i2", "i1")).distinct()
 
 
-def scores_of(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
-    """(id1, id2, score) of the given pairs (i1, i2) with blocks, 0 included: the grams of these files alone are counted, pair by pair."""
+def scores_of(pairs: DataFrame, first: DataFrame, second: DataFrame, binary: bool = False) -> DataFrame:
+    """(id1, id2, score) of the given pairs (i1, i2), 0 included: the grams of these files alone are counted, pair by pair."""
+    grams, all_windows, _ = _rule(binary)
 
     def shared(blocks_of: DataFrame, windows_of: DataFrame, i: str, j: str, name: str) -> DataFrame:
-        blocks = pairs.join(_exploded(blocks_of, "id", "text", i, block_grams), i)
-        windows = _exploded(windows_of, "id", "text", j, sliding_grams).join(pairs.select(j).distinct(), j, "left_semi")
+        blocks = pairs.join(_exploded(blocks_of, "id", "text", i, grams), i)
+        windows = _exploded(windows_of, "id", "text", j, all_windows).join(pairs.select(j).distinct(), j, "left_semi")
         return blocks.join(windows, [j, "gram"]).groupBy("i1", "i2").agg(F.count("*").alias(name))
 
     counted = pairs.join(shared(first, second, "i1", "i2", "ct1"), ["i1", "i2"], "left").join(shared(second, first, "i2", "i1", "ct2"), ["i1", "i2"], "left")
-    return _scored(counted.join(_sizes(first, "id", "text", 1), "i1").join(_sizes(second, "id", "text", 2), "i2").filter("blocks1 > 0 and blocks2 > 0"))
+    return _scored(counted.join(_sizes(first, "id", "text", 1, binary), "i1").join(_sizes(second, "id", "text", 2, binary), "i2"))
 
 
 def geos_equal(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -114,12 +139,12 @@ def geos_equal(first: DataFrame, second: DataFrame) -> DataFrame:
     return side(first, 1).join(side(second, 2), "info").filter((F.abs(n1 - n2) < 257) & same & filled(longer)).select("id1", "id2")
 
 
-def classify(first: DataFrame, second: DataFrame, deeper: int | None = None, place: str | None = None) -> DataFrame:
+def classify(first: DataFrame, second: DataFrame, deeper: int | None = None, place: str | None = None, binary: bool = False) -> DataFrame:
     """(id1, id2, label, equal, approx) of two relations (id, name, digest, text, and data if desktop files are to be compared by their own rule), by priority.
 
     Equal contents: MATCH. Else, with `deeper`, a score that reaches it: M-n%, which counts as equal; below it, for files of the
     same name: n%, or DIFF at 0. Without `deeper`, and for payloads that are empty, the same name gives DIFF. All else gives no row.
-    With `place`, the column of both that names the file on disk, files of one and the same place aren't matched with each other.
+    `binary` says that text holds bytes as single-byte characters, which scores then go by. With `place`, the column of both that names the file on disk, files of one and the same place aren't matched with each other.
     """
     a = first.select(F.col("id").alias("id1"), F.col("name").alias("name1"), F.col("digest").alias("d1"), F.octet_length("text").alias("n1"))
     b = second.select(F.col("id").alias("id2"), F.col("name").alias("name2"), F.col("digest").alias("d2"), F.octet_length("text").alias("n2"))
@@ -132,8 +157,8 @@ def classify(first: DataFrame, second: DataFrame, deeper: int | None = None, pla
         if deeper < 1:
             raise ValueError("a score of 0 would pair all with all")
         texts = [df.select("id", "text") for df in (first, second)]
-        pairs = cut(contenders(*texts, deeper).unionByName(named.select(F.col("id1").alias("i1"), F.col("id2").alias("i2"))).distinct())
-        scored = scores_of(pairs, *texts).filter("score > 0").join(named.select("id1", "id2", F.lit(True).alias("named")), ["id1", "id2"], "left")
+        pairs = cut(contenders(*texts, deeper, binary).unionByName(named.select(F.col("id1").alias("i1"), F.col("id2").alias("i2"))).distinct())
+        scored = scores_of(pairs, *texts, binary).filter("score > 0").join(named.select("id1", "id2", F.lit(True).alias("named")), ["id1", "id2"], "left")
         near = scored.filter((F.col("score") >= deeper) | F.col("named")).select("id1", "id2", (F.col("score") >= deeper).alias("equal"), F.col("score").alias("approx"), F.lit(2).alias("rank"))
         rows = rows.unionByName(near)
     best = rows.groupBy("id1", "id2").agg(F.min(F.struct("rank", "equal", "approx")).alias("x"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gzip
 import io
-import os
 import zipfile
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytefleet.operators.duplicates import suffixed
+from bytefleet.sources import stores
 from bytefleet.sources.formats import FormatError, archives, volumes
 from bytefleet.sources.formats.disk import Disk
 from bytefleet.sources.formats.geometry import ARCHIVES, image_type, loose_type
@@ -101,7 +101,7 @@ def unwrapped(files: DataFrame) -> DataFrame:
 
 
 def extracted(files: DataFrame, folder: str, with_type: bool = False, image: Column | None = None) -> DataFrame:
-    """Writes each payload under a shared folder and gives (file_path, target, size). Slashes become `_`; `*` in the folder's name stands for the image."""
+    """Writes each payload under a folder, or an address of a store, that all executors reach and gives (file_path, target, size). Slashes become `_`; `*` in the folder's name stands for the image."""
     name = F.translate(F.col("file_path"), "/", "_")
     name = F.concat_ws(".", name, F.lower("file_type")) if with_type else name
     place = F.replace(F.lit(folder), F.lit("*"), image if image is not None else F.lit("image"))
@@ -110,10 +110,7 @@ def extracted(files: DataFrame, folder: str, with_type: bool = False, image: Col
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for target, data in zip(batch["target"], batch["data"], strict=True):
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target + ".part", "wb") as out:  # a task that runs twice leaves one whole file
-                    out.write(bytes(data))
-                os.replace(target + ".part", target)
+                stores.write(target, bytes(data))
             yield pd.DataFrame({"file_path": batch["file_path"], "target": batch["target"], "size": [len(d) for d in batch["data"]]})
 
     return rows.mapInPandas(run, "file_path string, target string, size bigint")

@@ -78,6 +78,11 @@ def approx_pairs(spark, sf_dir):
     return matching.scores(items, docs, "id", "id")
 
 
+def approx_bytes(spark, sf_dir):
+    sides = [f.withColumn("text", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")) for f in _sides(spark, sf_dir)]
+    return matching.scores(*sides, "id", "id", binary=True)
+
+
 def match_classes(spark, sf_dir):
     items, docs = _sides(spark, sf_dir)
     return matching.classify(items, docs, 20)
@@ -179,7 +184,7 @@ def file_issues(spark, sf_dir):
 _KINDS = ("differs", "moved", "missing1", "missing2")
 QUERIES = {f"compare_all_{k}": _found(k) for k in _KINDS} | {
     f.__name__: f
-    for f in (dup_groups, coverage_by_dir, coverage_missing, unknown_files, first_partner, collision_suffix, approx_pairs, match_classes, match_exact_pairs, match_exact_classes, compare_moved_classes, match_diff_same_name, match_summary, full_containment, running_match_pct, alloc_check, alloc_counts, alloc_repair, affected_files, free_by_track, total_free, cross_links, free_blocks, file_issues)
+    for f in (dup_groups, coverage_by_dir, coverage_missing, unknown_files, first_partner, collision_suffix, approx_pairs, approx_bytes, match_classes, match_exact_pairs, match_exact_classes, compare_moved_classes, match_diff_same_name, match_summary, full_containment, running_match_pct, alloc_check, alloc_counts, alloc_repair, affected_files, free_by_track, total_free, cross_links, free_blocks, file_issues)
 }
 
 _DISK = """SELECT cell || '/' || row_number() OVER (PARTITION BY cell ORDER BY doc_id, digest) AS path, name, type, size, digest FROM (SELECT concat_ws('/', CAST(CAST(floor(CAST(substr(image, 4, 5) AS INTEGER) / 2) AS BIGINT) AS VARCHAR), lang, CAST(CAST(floor(doc_id / 20) AS BIGINT) AS VARCHAR), file_type) AS cell, doc_id, lang AS name, file_type AS type, octet_length(data) AS size, sha256(text) AS digest FROM f WHERE CAST(substr(image, 4, 5) AS INTEGER) % 2 = {})"""
@@ -195,6 +200,15 @@ c1 AS (SELECT ab.id AS i1, br.id AS i2, count(*) AS ct1 FROM ab JOIN br USING (g
 n1 AS (SELECT id AS i1, octet_length(encode(text)) AS s1, (SELECT count(*) FROM ab WHERE ab.id = a.id) AS b1 FROM a), n2 AS (SELECT id AS i2, octet_length(encode(text)) AS s2, (SELECT count(*) FROM bb WHERE bb.id = b.id) AS b2 FROM b),
 j AS (SELECT i1, i2, coalesce(ct1, 0) / b1 AS p1, coalesce(ct2, 0) / b2 AS p2, least(s1, s2) / greatest(s1, s2) AS lp FROM c1 FULL JOIN c2 USING (i1, i2) JOIN n1 USING (i1) JOIN n2 USING (i2) WHERE b1 > 0 AND b2 > 0),
 sc AS (SELECT i1 AS id1, i2 AS id2, CAST(floor(lp * p1 * p2 * 30 + p1 * 35 + p2 * 35 + 0.5) AS BIGINT) AS score FROM j)"""
+_SIGNED = "list_transform({}, lambda g: lpad(regexp_replace(g, '^(?:..)*([89A-F].)', '\\1'), 16, 'F'))"
+_BLOCKS = _SIGNED.format("list_transform(range(1, length(h) - 14, 16), lambda k: substr(h, k, 16)) || CASE WHEN length(h) > 16 AND length(h) % 16 <> 0 THEN [right(h, 16)] ELSE [] END")
+_WINDOWS = _SIGNED.format("list_transform(range(1, least(length(h) // 2, 7) + 1), lambda k: lpad(substr(h, 1, 2 * k), 16, '0')) || list_transform(range(1, length(h) - 14, 2), lambda k: substr(h, k, 16))")
+_BYTE_GRAMS = f"""WITH a AS (SELECT item_id AS id, hex(encode(text)) AS h FROM benchmark), b AS (SELECT doc_id AS id, hex(encode(text)) AS h FROM documents),
+ab AS (SELECT DISTINCT id, unnest({_BLOCKS}) AS g FROM a), bb AS (SELECT DISTINCT id, unnest({_BLOCKS}) AS g FROM b), ar AS (SELECT DISTINCT id, unnest({_WINDOWS}) AS g FROM a), br AS (SELECT DISTINCT id, unnest({_WINDOWS}) AS g FROM b),
+c1 AS (SELECT ab.id AS i1, br.id AS i2, count(*) AS ct1 FROM ab JOIN br USING (g) GROUP BY ALL), c2 AS (SELECT ar.id AS i1, bb.id AS i2, count(*) AS ct2 FROM bb JOIN ar USING (g) GROUP BY ALL),
+n1 AS (SELECT id AS i1, length(h) AS s1, (SELECT count(*) FROM ab WHERE ab.id = a.id) AS b1 FROM a), n2 AS (SELECT id AS i2, length(h) AS s2, (SELECT count(*) FROM bb WHERE bb.id = b.id) AS b2 FROM b),
+j AS (SELECT i1, i2, coalesce(ct1, 0) / greatest(b1, 1) AS p1, coalesce(ct2, 0) / greatest(b2, 1) AS p2, least(s1, s2) / greatest(s1, s2) AS lp FROM c1 FULL JOIN c2 USING (i1, i2) JOIN n1 USING (i1) JOIN n2 USING (i2))
+SELECT i1 AS id1, i2 AS id2, CAST(floor(lp * p1 * p2 * 30 + p1 * 35 + p2 * 35 + 0.5) AS BIGINT) AS score FROM j WHERE floor(lp * p1 * p2 * 30 + p1 * 35 + p2 * 35 + 0.5) > 0"""
 _USE = "u AS (SELECT l_orderkey % 16 AS image, l_orderkey AS file, CAST(l_suppkey % 100 AS INTEGER) AS track, CAST(l_partkey % 256 AS INTEGER) AS sector FROM lineitem)"
 _BAM = "m AS (SELECT image, CAST(track AS INTEGER) AS track, CAST(sector AS INTEGER) AS sector, (image * 7 + track * 3 + sector) % 5 = 0 AS is_free FROM range(16) i(image), range(100) t(track), range(256) s(sector))"
 
@@ -223,6 +237,7 @@ SELECT side, path, type, size, class_path, CASE side WHEN 1 THEN n2 ELSE n1 END
     "first_partner": f"{_CAT} SELECT p.path, min(k.path) AS partner FROM p JOIN k ON p.hash = k.hash AND p.length = k.length GROUP BY p.path",
     "collision_suffix": "WITH n AS (SELECT doc_id, source || '.' || lang AS name, row_number() OVER (PARTITION BY source || '.' || lang ORDER BY doc_id) - 1 AS n FROM documents) SELECT doc_id, CASE WHEN n = 0 THEN name ELSE name || '_' || n END AS target FROM n",
     "approx_pairs": f"{_GRAMS} SELECT id1, id2, score FROM sc WHERE score > 0",
+    "approx_bytes": _BYTE_GRAMS,
     "match_classes": f"""{_GRAMS}, e AS (SELECT a.id AS id1, b.id AS id2 FROM a JOIN b ON a.text = b.text WHERE length(a.text) > 0), nm AS (SELECT a.id AS id1, b.doc_id AS id2 FROM a JOIN documents b ON b.lang = 'en' AND b.doc_id = a.id),
 r AS (SELECT id1, id2, true AS equal, CAST(0 AS BIGINT) AS approx, 1 AS rank FROM e UNION ALL SELECT id1, id2, score >= 20, score, 2 FROM sc WHERE score > 0 AND (score >= 20 OR (id1, id2) IN (SELECT (id1, id2) FROM nm)) UNION ALL SELECT id1, id2, false, 0, 3 FROM nm),
 t AS (SELECT id1, id2, equal, approx, row_number() OVER (PARTITION BY id1, id2 ORDER BY rank) AS n FROM r)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytefleet.functions.scalars import SIZE_CAP
+from bytefleet.sources import stores
 from bytefleet.sources.formats import FormatError, archives, volumes
 from bytefleet.sources.formats.disk import Disk
 from bytefleet.sources.formats.geometry import image_type, loose_type
@@ -244,7 +245,7 @@ def unpacked_volumes(files: DataFrame, path: str = "path", content: str = "conte
 
 
 def partitions(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, number, name, type, type_name, start, len) of raw drives. Only the table's bytes are read, as drives exceed what one value holds."""
+    """(path, number, name, type, type_name, start, len) of raw drives in any store; a drive without a table has no rows. Only the table's bytes are read, as drives exceed what one value holds."""
     size, table = 2 + 256 * 32, volumes.TABLE
     found = spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(lambda batches: (_drive_rows(b, table, size) for b in batches), "path string, number int, name string, type int, type_name string, start bigint, len bigint")
     return found
@@ -253,9 +254,10 @@ def partitions(spark: SparkSession, paths: list[str]) -> DataFrame:
 def _drive_rows(batch: pd.DataFrame, at: int, size: int) -> pd.DataFrame:
     rows = []
     for path in batch["path"]:
-        with open(path.removeprefix("file://"), "rb") as drive:
-            drive.seek(at)
-            rows += [{"path": path, **p} for p in volumes.read_partitions(drive.read(size))]
+        try:
+            rows += [{"path": path, **p} for p in volumes.read_partitions(stores.read_part(path, at, size))]
+        except FormatError:
+            continue
     return pd.DataFrame(rows, columns=["path", "number", "name", "type", "type_name", "start", "len"])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bytefleet.functions import scalars as X
 from bytefleet.operators import listing, matching, ordinals, rewrite, search
-from bytefleet.sources import containers
+from bytefleet.sources import containers, stores
 from bytefleet.sources.formats import FormatError, archives, volumes
 from bytefleet.sources.formats.disk import Disk, formatted
 
@@ -154,6 +154,32 @@ def test_contenders_miss_no_score(spark):
     assert matching.contenders(a, b, 60).count() < len(full)
 
 
+def test_scores_of_bytes_are_those_of_signed_numbers(spark):
+    def numbers(data, keep):
+        out, r = set(), 0
+        for k, byte in enumerate(data):
+            r = ((r << 8) | (byte - 256 if byte > 127 else byte)) & (1 << 64) - 1
+            out |= {r} if keep(k) else set()
+        return out
+
+    def blocks(data):
+        starts = [*range(0, len(data) - 7, 8), *([len(data) - 8] if len(data) > 8 and len(data) % 8 else [])]
+        return {n for at in starts for n in numbers(data[at : at + 8], lambda k: k == 7)}
+
+    def score(a, b):
+        p1, p2 = (len(blocks(x) & numbers(y, lambda k: True)) / max(len(blocks(x)), 1) for x, y in ((a, b), (b, a)))
+        return int(min(len(a), len(b)) / max(len(a), len(b), 1) * p1 * p2 * 30 + p1 * 35 + p2 * 35 + 0.5)
+
+    draw = random.Random(5)
+    base = [bytes(draw.choice((0, 0, 65, 66, 127, 128, 200, 255)) for _ in range(n)) for n in (0, 3, 7, 8, 9, 16, 40, 41, 200)]
+    files = [*base, b"\x00" * 20, b"\x00\x00\x00\x00\x00abc" * 3, b"abc", b"\xff" * 12, b"\x80", *(base[-1][k : k + 90] for k in (0, 5, 64)), b"ab\xe9cdefghijk", b"xy\xe9cdefghijk", None]
+    df = spark.createDataFrame([(k, f) for k, f in enumerate(files)], "id bigint, data binary").withColumn("text", F.decode("data", "ISO-8859-1"))
+    got = {(r["id1"], r["id2"]): r["score"] for r in matching.scores(df, df, "id", "id", binary=True).collect()}
+    assert got == {(i, j): s for i, a in enumerate(files) for j, b in enumerate(files) if a is not None and b is not None and (s := score(a, b))}
+    near = {(r["id1"], r["id2"]): r["score"] for r in matching.scores_of(matching.contenders(df, df, 40, binary=True), df, df, binary=True).collect()}
+    assert {k: v for k, v in near.items() if v >= 40} == {k: v for k, v in got.items() if v >= 40}
+
+
 def test_grams_count_characters(spark):
     text = "ab😀defgh😀jk" + "é" * 9
     r = spark.createDataFrame([(text, "plain text of some length"), ("1234567", None)], "t string, u string").select(matching.sliding_grams(F.col("t")).alias("w"), matching.block_grams(F.col("t")).alias("b"), matching.sliding_grams(F.col("u")).alias("v")).collect()
@@ -193,3 +219,17 @@ def test_entry_works_without_the_libraries_of_the_subpackage(monkeypatch):
     assert "inside_ci" in entry.queries() and not any(n.startswith("op") or n == "pipeline" for n in entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert archives.BROKEN_END == 50118
+
+
+def test_files_of_a_store(spark, tmp_path):
+    names = ["plain", "with % and #", "50%25"]
+    rows = spark.createDataFrame([(n, k, bytearray(n.encode() * 3), "PRG") for k, n in enumerate(names)], "file_path string, ord int, data binary, file_type string")
+    for folder in (f"{tmp_path}/a", f"file://{tmp_path}/b", f"file:{tmp_path}/c"):
+        for _ in range(2):  # a second run replaces the files of the first
+            assert rewrite.extracted(rows, folder).count() == 3
+        place = tmp_path / folder[-1]
+        assert {p.name: p.read_bytes() for p in place.iterdir()} == {n: n.encode() * 3 for n in names}
+    assert stores.located(f"file:{tmp_path}/a")[1] == stores.located(f"file://{tmp_path}/a")[1] == f"{tmp_path}/a"
+    (tmp_path / "drive").write_bytes(bytes(range(100)))
+    assert stores.read_part(f"file://{tmp_path}/drive", 90, 20) == bytes(range(90, 100)) and stores.read_part(f"{tmp_path}/drive", 500, 20) == b""
+    assert containers.partitions(spark, [f"{tmp_path}/drive"]).count() == 0
