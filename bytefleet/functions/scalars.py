@@ -73,14 +73,14 @@ def long_hex(number: Column) -> Column:
     return F.when(number == 0, "").when(F.length(digits) % 2 == 1, F.concat(F.lit("0"), digits)).otherwise(digits)
 
 
-def number_bytes(number: Column) -> Column:
-    """Little-endian 32-bit bytes."""
-    digits = F.lpad(F.hex(number.cast("bigint").bitwiseAND(0xFFFFFFFF)), 8, "0")
-    return F.unhex(F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)]))
+def number_bytes(number: Column, size: int = 4) -> Column:
+    """The lowest bytes of a number, up to eight, little-endian; four hold 32 bits and leave out what is above."""
+    digits = F.lpad(F.hex(number.cast("bigint")), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(size)]))
 
 
 def little_endian(data: Column, position: int, size: int) -> Column:
-    """An unsigned number of up to seven bytes from a position (from 1)."""
+    """An unsigned number of up to seven bytes from a position (from 1), or of eight below 2^63."""
     return sum((unsigned(data, position + k).cast("bigint") * (1 << (8 * k)) for k in range(1, size)), unsigned(data, position).cast("bigint"))
 
 

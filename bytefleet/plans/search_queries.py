@@ -115,8 +115,8 @@ def file_numbers(spark, sf_dir):
 
 
 def partition_addr(spark, sf_dir):
-    k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select("p_partkey", (X.big_endian(F.substring(X.number_bytes(k * 7919), 1, 3), 1, 3) * 512).alias("address"), X.long_hex(k % 70000).alias("digits"), X.little_endian(X.number_bytes(k * 65537), 1, 4).alias("back"))
+    k = F.col("p_partkey").cast("bigint")
+    return table(spark, sf_dir, "part").select("p_partkey", (X.big_endian(F.substring(X.number_bytes(k * 7919), 1, 3), 1, 3) * 512).alias("address"), X.long_hex(k % 70000).alias("digits"), X.little_endian(X.number_bytes(k * 65537, 8), 1, 8).alias("back"))
 
 
 def scalar_text(spark, sf_dir):

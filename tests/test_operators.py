@@ -245,3 +245,13 @@ def test_whole_comparison_accounts_for_every_document(spark):
     assert only[0] == {r["path1"] for k in ("moved", "missing2") for r in found[k]}
     assert only[1] == {r["path2"] for k in ("moved", "missing1") for r in found[k]}
     assert found["differs"] and {r["path1"] for r in found["differs"]} <= set(sides[0]) & set(sides[1])
+
+
+def test_partition_addresses_of_large_keys(spark, tmp_path):
+    keys = [0, 1, 65535, 65536, 65537, 70000, 119999, 1199999, 1 << 24, (1 << 31) + 5, 1 << 45, None]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    names = ("p_partkey", "address", "digits", "back")
+    got = [tuple(r[n] for n in names) for r in registry.QUERIES["partition_addr"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(con.sql(f"SELECT {', '.join(names)} FROM ({registry.ORACLE_SQL['partition_addr']})").fetchall(), key=repr)
