@@ -164,7 +164,7 @@ def total_free(spark, sf_dir):
 def cross_links(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     used = li.select((F.col("l_orderkey") % 16).alias("image"), F.col("l_orderkey").alias("file"), F.col("l_suppkey").alias("track"), F.col("l_partkey").alias("sector"))
-    return integrity.cross_links(used)
+    return integrity.cross_links(used.repartition("image", "file"))
 
 
 def free_blocks(spark, sf_dir):
@@ -176,7 +176,7 @@ def free_blocks(spark, sf_dir):
 
 
 def file_issues(spark, sf_dir):
-    used = _use(spark, sf_dir).distinct()
+    used = _use(spark, sf_dir).repartition("image", "file").distinct()  # one shuffle for all that is asked of files
     files = used.groupBy("image", "file").agg(F.count("*").alias("n")).select("image", "file", (F.col("n") + F.when(F.col("file") % 2 == 0, 1).otherwise(0)).alias("blocks"))
     return integrity.file_issues(files, integrity.allocation(_bam(spark, sf_dir), used), used)
 

@@ -2,9 +2,11 @@
 
 import itertools
 import os
+import random
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -255,3 +257,38 @@ def test_partition_addresses_of_large_keys(spark, tmp_path):
     names = ("p_partkey", "address", "digits", "back")
     got = [tuple(r[n] for n in names) for r in registry.QUERIES["partition_addr"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=repr) == sorted(con.sql(f"SELECT {', '.join(names)} FROM ({registry.ORACLE_SQL['partition_addr']})").fetchall(), key=repr)
+
+
+def _links_by_hand(used):
+    sectors = {}
+    for i, f, *s in set(used):
+        if f is not None:
+            sectors.setdefault((i, f), set()).add(tuple(s))
+    met = {(a, b): {s for s in sectors[a] & sectors[b] if None not in s} for a, b in itertools.permutations(sectors, 2) if a[0] == b[0] and a[0] is not None}
+    kind = {(a, b): "inside" if len(s) == len(sectors[a]) else "contains" if len(s) == len(sectors[b]) else "overlaps" for (a, b), s in met.items()}
+    return sorted((a[0], a[1], b[1], len(s), kind[a, b]) for (a, b), s in met.items() if s)
+
+
+@pytest.mark.parametrize("rows_held", [7, 1 << 20])
+def test_cross_links_shuffle_no_pairs(spark, monkeypatch, rows_held):
+    draw = random.Random(3)
+    used = [(draw.choice("ij"), f"file {draw.randrange(40)}", draw.randrange(3), draw.randrange(9)) for _ in range(500)] + [("i", f"same {n}", 1, s) for n in range(30) for s in range(5)]
+    used += [("k", "alone", 1, 1), ("i", "file 1", None, 1), ("i", "file 2", None, 1), ("i", None, 1, 1), (None, "a", 1, 1), (None, "b", 1, 1)]
+    monkeypatch.setattr(integrity, "PIECE_ROWS", rows_held)
+    df = integrity.cross_links(spark.createDataFrame(used, "image string, file string, track int, sector int"))
+    assert sorted(tuple(r) for r in df.collect()) == _links_by_hand(used)
+    above = df._jdf.queryExecution().sparkPlan().toString().partition("MapInArrow")
+    assert above[1] and not any(x in above[0] for x in ("Join", "Aggregate", "Exchange"))
+
+
+@pytest.mark.parametrize("pairs", [1, 40, 1 << 19])
+@pytest.mark.parametrize("pieces", [1, 3])
+def test_pairs_are_counted_in_parts(monkeypatch, pairs, pieces):
+    monkeypatch.setattr(integrity, "PAIRS", pairs)
+    draw = random.Random(5)
+    used = sorted({(draw.choice((1, 2)), draw.randrange(25), draw.randrange(12)) for _ in range(260)} | {(1, 99, s) for s in range(12)})
+    size = Counter(r[:2] for r in used)
+    rows = sorted((i, p, f % pieces != p, f, size[i, f], i * 100 + s) for i, f, s in used for p in range(pieces))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 6], strict=True)], names=["_i", "_piece", "_away", "_f", "_n", "_sector"]) for k in range(0, len(rows), 6)]
+    got = [tuple(r.values()) for b in integrity._counted_pairs(iter(batches)) for r in b.to_pylist()]
+    assert sorted((*r[:4], ("inside", "contains", "overlaps")[r[4]]) for r in got) == _links_by_hand(used)
