@@ -228,6 +228,14 @@ def test_models_tell_random_strings_from_identifiers():
     assert caught > 0.9 and wrong < 0.02
 
 
+def test_ordinary_words_are_counted_in_all_documents(spark):
+    """80 words, half of them in 2 % of the documents each and half in 1 %, where 1.5 % are needed; some stand in one stretch of ids alone."""
+    names = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(80)]
+    texts = [" ".join(["every", *[w for k, w in enumerate(names) if (d + 7 * k) % 100 < 1 + k % 2]]) + (" rarely" if d < 14 else "") + (" stretch" * 3 if 500 <= d < 505 else "") for d in range(1000)]
+    assert set(secrets.train(documents(spark, [*texts, None]).filter("doc_id < 1000"))) == {"every", "stretch", *names[1::2]}
+    assert secrets.train(documents(spark, ["one two two two", "one one"])) == ("one", "two")
+
+
 def test_redaction(spark):
     docs = documents(spark, ["a password = hunter22 b", f"x {KEY}", None, "clean"])
     rows = by_id(secrets.redacted(docs))
